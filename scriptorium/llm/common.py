@@ -51,16 +51,17 @@ def text_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("body"))
 
 
-def count_words(bodies: DataFrame, words_of: Callable[[bytes], list], extra: bytes | None = None, flush: int = 250_000) -> DataFrame:
-    """(word, n): how often each word of the bodies occurs; extra is counted once a row.
+def count_words(bodies: DataFrame, words_of: Callable, kind: str = "binary", extra: bytes | None = None, flush: int = 250_000) -> DataFrame:
+    """(word, n): how often each word of the bodies (a column `body`, binary or string as kind says) occurs; extra is counted once a row.
 
     Each task combines what it has read before anything is shuffled and holds at most
     `flush` words at a time.
     """
+    arrow = pa.string() if kind == "string" else pa.binary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(c: Counter) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "n"])
+            return pa.record_batch([pa.array(list(c), arrow), pa.array(list(c.values()), pa.int64())], ["word", "n"])
 
         seen: Counter = Counter()
         for batch in batches:
@@ -75,7 +76,7 @@ def count_words(bodies: DataFrame, words_of: Callable[[bytes], list], extra: byt
         if seen:
             yield out(seen)
 
-    found = bodies.select("body").mapInArrow(run, "word binary, n bigint")
+    found = bodies.select("body").mapInArrow(run, f"word {kind}, n bigint")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -86,7 +87,7 @@ class Lexicon:
     also by themselves, which is the quick way. Values lie beside it, in the rows' order.
     """
 
-    def __init__(self, keys: np.ndarray, frequent: list[bytes]):
+    def __init__(self, keys: np.ndarray, frequent: list):
         order = np.argsort(keys, kind="stable")
         self.keys, self.rows = keys[order], order.astype(np.int32)
         import xxhash
@@ -101,7 +102,7 @@ class Lexicon:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == h, self.rows[at], -1).astype(np.int64)
 
-    def find(self, words: list[bytes]) -> np.ndarray:
+    def find(self, words: list) -> np.ndarray:
         """The row of each word, -1 where it is not in the table."""
         import xxhash
 

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Elements of HTML by their role.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -197,15 +198,19 @@ def main_text(page: str | None) -> str:
     return "\n\n".join(x[0] for x in lines if best in x[3])
 
 
-def extract_pages(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id, text) of each page row, whole pages; null or empty html gives an empty text.
+def extract_pages(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", carry: list[str] | None = None) -> DataFrame:
+    """(id, text) of each page row, and the columns named in carry; whole pages; null or empty html gives an empty text.
 
     Broken markup (elements that never end, stray ends) is read much as browsers do.
     Repeated rows give a row each; other columns are ignored.
     """
 
+    carry = carry or []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([main_text(x) for x in batch.column(1).to_pylist()], pa.string())], ["id", "text"])
+            text = pa.array([main_text(x) for x in batch.column(1).to_pylist()], pa.string())
+            yield pa.record_batch([batch.column(0), text, *(batch.column(2 + i) for i in range(len(carry)))], ["id", "text", *carry])
 
-    return pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).mapInArrow(run, "id bigint, text string")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"), *carry)
+    return rows.mapInArrow(run, T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType()), *(pages.schema[c] for c in carry)]))
