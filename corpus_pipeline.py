@@ -6,13 +6,11 @@ tests hold the stages against brute force instead.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import decontaminate, minhash, pii, quality, sentencepiece
-from scriptorium.llm.common import shared_dir
+from scriptorium.llm.common import materialise
 
 ORACLE_SQL = None
 
@@ -56,8 +54,6 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each works on all that its predecessor kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{top}/{i}")
-        docs = spark.read.parquet(f"{top}/{i}")
+    for _, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), "stage")
     return docs

@@ -182,6 +182,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each group of near-duplicates, all columns kept: that of the smallest id."""
+    """One document of each group of near-duplicates, all columns kept: that of the smallest id.
+
+    Rows that repeat both id and text are one document.
+    """
+    text_col = options.get("text_col", "text")
     gone = near_duplicates(docs, id_col=id_col, **options).filter("component <> id").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").dropDuplicates([id_col])
+    left = docs.join(gone, id_col, "left_anti")
+    return left.withColumn("__text", F.xxhash64(text_col)).dropDuplicates([id_col, "__text"]).select(*docs.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, html, langid, minhash, pii, quality, sentencepiece, token_counts
+from . import decontaminate, embed_dedup, hmm, html, langid, minhash, pii, quality, sentencepiece, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,8 +64,12 @@ def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_html_extraction, op4_language_id, op5_quality, op6_decontamination, op7_pii, op8_embedding_dedup, op9_minhash_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_html_extraction, op4_language_id, op5_quality, op6_decontamination, op7_pii, op8_embedding_dedup, op9_minhash_dedup, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
