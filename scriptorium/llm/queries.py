@@ -72,5 +72,34 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_sentencepiece, op2_token_counts, op3_html_extraction, op4_language_id, op5_quality, op6_decontamination, op7_pii, op8_embedding_dedup, op9_minhash_dedup, op10_lm_scoring)}
 
 
+# Components: what each id reaches over links (a, b) given both ways.
+_REACH = "reach as (select id, id as other from ids union select reach.id, l.b from reach join links l on l.a = reach.other), parts as (select id, min(other) as component_id from reach group by id)"
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+DECONTAMINATION = f"""with d as (select doc_id, {_WORDS} as w from documents), b as (select item_id::varchar as item, {_WORDS} as w from benchmark where text is not null),
+win as (select distinct item, least(10, len(w)) as m, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') as win from b, unnest(range(1, len(w) - least(10, len(w)) + 2)) u(i) where len(w) > 0),
+lengths as (select distinct m from win), place as (select doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') as win from d, lengths, unnest(range(1, len(w) - m + 2)) u(i)),
+hit as (select doc_id, place.m, i, item from place join win on win.m = place.m and win.win = place.win),
+words as (select doc_id, count(distinct k)::bigint as n_hit from hit, unnest(range(i, i + m)) u(k) group by 1),
+items as (select doc_id, count(*)::bigint as n_items, string_agg(item, ',' order by item) as names from (select distinct doc_id, item from hit) group by 1)
+select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join words using (doc_id) left join items using (doc_id)"""
+
+EMBEDDINGS = f"""with recursive v as (select vec_id as id, embedding::double[] as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u as (select id, v, sqrt(list_inner_product(v, v)) as n from v), links as (select x.id as a, y.id as b from u x join u y on x.id <> y.id and len(x.v) = len(y.v) where list_inner_product(x.v, y.v) / (x.n * y.n) >= 0.9),
+ids as (select distinct vec_id as id from embeddings), {_REACH}
+select id as vec_id, (select count(*) from links where a = id)::bigint as n_links, component_id, id = component_id as kept from parts"""
+
+NEAR_DUPLICATES = f"""with recursive d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents),
+s as (select distinct doc_id, array_to_string(w[i:i + least(2, len(w)) - 1], ' ') as g from d, unnest(range(1, len(w) - least(2, len(w)) + 2)) u(i) where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by 1),
+common as (select x.doc_id as a, y.doc_id as b, count(*) as c from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
+links as (select a, b from common join n p on p.doc_id = a join n q on q.doc_id = b where 100 * c >= 80 * (p.n + q.n - c)),
+ids as (select distinct doc_id as id from documents), {_REACH}
+select id as doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, id = component_id as kept from parts left join n on n.doc_id = id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of what plain SQL can express; models, merges of pieces, markup and added spans are tested by brute force."""
+    return {"op6_decontamination": DECONTAMINATION, "op8_embedding_dedup": EMBEDDINGS, "op9_minhash_dedup": NEAR_DUPLICATES}
