@@ -5,6 +5,8 @@ Models and colour codecs stay outside; these need numpy alone.
 
 from __future__ import annotations
 
+import struct
+import zlib
 from collections import deque
 from collections.abc import Iterator
 
@@ -204,6 +206,17 @@ def prepare(image: np.ndarray, *, angle: float = 0.0, contrast: bool = True, bin
     return resize(out, target) if target else out
 
 
+def png(image: np.ndarray) -> bytes:
+    """A grey image as a PNG file."""
+
+    def chunk(kind: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    rows = np.pad(image, ((0, 0), (1, 0))).tobytes()  # each row begins with its filter, none
+    head = struct.pack(">IIBBBBB", image.shape[1], image.shape[0], 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
+
+
 def mapped(images: DataFrame, function, **options) -> DataFrame:
     """Applies an operator to (page_id, height, width, pixels), grey bytes by rows, a page at a time."""
 

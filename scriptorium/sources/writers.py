@@ -177,6 +177,33 @@ def write_label_files(split_rows: DataFrame, path: str) -> None:
     split_rows.select("split", F.concat_ws("\t", "img_name", "text").alias("value")).write.mode("overwrite").partitionBy("split").text(path)
 
 
+def write_images(images: DataFrame, path: str) -> None:
+    """(name, content): pages or crops (page_id or line_id, height, width, pixels) as PNG files' bytes, in a table."""
+    import numpy as np
+
+    from ..operators import image
+
+    key = "line_id" if "line_id" in images.columns else "page_id"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame({"name": pdf[key] + ".png", "content": [image.png(np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width)) for r in pdf.itertuples()]})
+
+    images.select(key, "height", "width", "pixels").mapInPandas(run, "name string, content binary").write.mode("overwrite").parquet(path)
+
+
+def best_config(runs: DataFrame, metric: str = "cer") -> DataFrame:
+    """(json): the settings of the best run."""
+    best = metrics.best_run(runs, metric)
+    return best.select(F.to_json(F.struct(*best.columns)).alias("json"))
+
+
+def training_history(history: DataFrame) -> DataFrame:
+    """(run, json): each run's series, epoch by epoch."""
+    row = F.struct("epoch", *(c for c in history.columns if c not in ("run", "epoch")))
+    return history.groupBy("run").agg(F.to_json(F.sort_array(F.collect_list(row))).alias("json"))
+
+
 def error_curve(scored: DataFrame, column: str = "cer") -> DataFrame:
     """(place, value): values in ascending order, for a curve; a report of one evaluation's lines."""
     return scored.select(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(column)).alias("place"), F.col(column).alias("value"))

@@ -69,6 +69,34 @@ def test_image_frames(spark):
     assert [(r.height, r.width) for r in two] == [(10, 70), (10, 70)]
 
 
+def test_png_files_are_read_again(spark, tmp_path):
+    x = page(30, 40)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "p1.png").write_bytes(image.png(x))
+    got = readers.images(spark, str(tmp_path / "in")).first()
+    assert got.page_id == "p1" and bytes(got.pixels) == x.tobytes()
+    writers.write_images(frame(spark, p1=x), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).first().name == "p1.png"
+
+
+def test_functions_in_sql(spark):
+    from scriptorium.functions.register import register
+
+    register(spark)
+    assert spark.sql("select normalise_text('Nostre  carta') as x").first().x == "nostre charta"
+    frame(spark, d=np.zeros((10, 100), np.uint8), s=np.zeros((10, 10), np.uint8)).createOrReplaceTempView("raster")
+    got = spark.sql("select page_id, t.side, t.width from raster, lateral split_double_page(height, width, pixels) t").collect()
+    assert {tuple(r) for r in got} == {("d", "left", 70), ("d", "right", 70), ("s", "whole", 10)}
+
+
+def test_runs_as_json(spark):
+    runs = spark.createDataFrame([(0, 8, 0.2), (1, 16, 0.1)], "run_idx int, r int, cer double")
+    assert json.loads(writers.best_config(runs).first().json)["r"] == 16
+    history = spark.createDataFrame([("a", 2, 0.1), ("a", 1, 0.3)], "run string, epoch int, cer double")
+    assert [x["epoch"] for x in json.loads(writers.training_history(history).first().json)] == [1, 2]
+    assert [r.is_best for r in writers.training_curves(history).orderBy("epoch").collect()] == [False, True]
+
+
 def test_label_files(spark, tmp_path):
     p = tmp_path / "dev.txt"
     p.write_text("a.png\tone\ttwo\n\nno tab\n  b.png\té \nc.png\t[TODO_TRANSCRIPTION]\n", encoding="utf-8")
