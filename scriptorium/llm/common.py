@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,23 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+class Shared:
+    """A bounded object that goes to each worker once, with the code it needs: workers have no copy of this package."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self.body = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def __getstate__(self) -> dict:
+        return {"body": self.body}
+
+    @property
+    def value(self):
+        if "known" not in self.__dict__:
+            self.known = cloudpickle.loads(self.body.value)
+            self.body.__dict__.pop("_value", None)  # the bytes can be read again
+        return self.known
+
+
 def text_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, body): the id and the text's UTF-8 bytes, null for null."""
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("body"))

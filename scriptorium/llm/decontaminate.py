@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import Shared, text_bytes
 
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Words in a block; windows of fewer words take shorter blocks.
@@ -112,7 +112,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     scans = []
     for k in range(shares):
         part = rows if shares == 1 else rows.filter(F.pmod(F.xxhash64("name"), F.lit(shares)) == k)
-        tables = spark.sparkContext.broadcast(WuManber(sorted((r.name, bytes(r.body)) for r in part.toLocalIterator()), size))
+        tables = Shared(spark, WuManber(sorted((r.name, bytes(r.body)) for r in part.toLocalIterator()), size))
         scans.append(bodies.mapInArrow(_scan(tables), SCHEMA))
     if shares == 1:
         return scans[0]

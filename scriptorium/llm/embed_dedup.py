@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import Shared, connected_components, materialise
 
 #: Vectors in a block, in a tile's side, and in the sample that axes and cuts are fitted on.
 BLOCK, TILE, SAMPLE = 4096, 512, 8192
@@ -130,7 +130,7 @@ def _compared(classes: DataFrame, threshold: float, block: int) -> DataFrame:
     n = classes.count()
     blocks = max(1, -(-n // block))
     sample = np.array([r.vec for r in classes.select("rep", "vec").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()])
-    axes = spark.sparkContext.broadcast(Axes(sample, blocks))
+    axes = Shared(spark, Axes(sample, blocks))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

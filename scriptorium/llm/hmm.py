@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lexicon, count_words, materialise, text_bytes, unsigned
+from .common import Lexicon, Shared, count_words, materialise, text_bytes, unsigned
 
 #: The token that ends each text; no word holds a blank.
 END = b" "
@@ -254,7 +254,7 @@ def train(learning: DataFrame, share: np.ndarray, *, states: int, passes: int) -
         hmm = hmm.updated(*hmm.expected(texts), share)
     size = len(share)
     for _ in range(passes):
-        held = spark.sparkContext.broadcast(hmm)
+        held = Shared(spark, hmm)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             model, total = held.value, None
@@ -291,9 +291,9 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     counts = materialise(count_words(bodies.filter("learn"), lambda b: b.lower().split(), extra=END), "words")
     voc, share = vocabulary(counts, table_words)
     complete = voc.distinct <= table_words
-    tables = spark.sparkContext.broadcast(voc)
+    tables = Shared(spark, voc)
     rows = materialise(encoded(bodies, tables, complete), "symbols")
-    model = spark.sparkContext.broadcast(train(rows.filter("learn"), share, states=states, passes=passes))
+    model = Shared(spark, train(rows.filter("learn"), share, states=states, passes=passes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hmm = model.value

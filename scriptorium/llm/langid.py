@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Shared
+
 #: Bytes in a window.
 WINDOW = 64
 HIDDEN, EMBED = 6, 8
@@ -207,7 +209,7 @@ def predict(docs: DataFrame, net: Network | None, *, id_col: str = "doc_id", tex
     `und` with score 0 where the text is null, has no letter, or there is no network. The
     first label in order wins ties. Other columns are ignored.
     """
-    model = docs.sparkSession.sparkContext.broadcast((net.frozen(), net.labels) if net else None)
+    model = Shared(docs.sparkSession, (net.frozen(), net.labels) if net else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frozen, labels = model.value or ({}, [])
