@@ -91,19 +91,32 @@ def signatures(bodies: DataFrame, words: int, k: int) -> DataFrame:
     return bodies.mapInArrow(run, "id bigint, n bigint, digest binary, sketch array<bigint>")
 
 
-def full_sets(bodies: DataFrame, words: int) -> DataFrame:
-    """(id, digest, shingles) of each document."""
+def full_sets(bodies: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """(key, id, shingles): each wanted document's set, once for each of its keys.
+
+    wanted: (id, digest, keys); rows that share an id but not the digest are left out.
+    Where they are few, the wanted ids go to the scan and no text is shuffled.
+    """
+    small = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    rows = bodies.join(F.broadcast(wanted) if small else wanted, "id").select("id", "body", "digest", "keys")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                sets = [shingler.set_of(b) for b in part.column("body").to_pylist()]
+            for i in range(0, batch.num_rows, 128):
+                part = batch.slice(i, 128).to_pydict()
+                keys, ids, sets = [], [], []
+                for d, body, digest, own in zip(*(part[c] for c in ("id", "body", "digest", "keys")), strict=True):
+                    s = shingler.set_of(body)
+                    if _digest(s) == digest:
+                        for key in own:
+                            keys.append(key)
+                            ids.append(d)
+                            sets.append(s)
                 values = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([*sets, np.empty(0, np.uint64)]).astype(np.int64)))
-                yield pa.record_batch([part.column("id"), pa.array([_digest(s) for s in sets], pa.binary()), values], ["id", "digest", "shingles"])
+                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), values], ["key", "id", "shingles"])
 
-    return bodies.mapInArrow(run, "id bigint, digest binary, shingles array<bigint>")
+    return rows.mapInArrow(run, "key bigint, id bigint, shingles array<bigint>")
 
 
 def inverted_lists(reps: DataFrame, k: int, need: int, percent: int) -> DataFrame:
@@ -112,16 +125,17 @@ def inverted_lists(reps: DataFrame, k: int, need: int, percent: int) -> DataFram
     A set that its sketch holds in full, as do those of all similar sets, needs exactly
     its share of common values; the others need `need`.
     """
-    postings = reps.select("id", "n", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
+    postings = reps.select("id", F.explode("sketch").alias("value"))
     common = postings.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     whole = F.floor(F.lit(k) * percent / 100)
     needed = F.when(F.col("n") <= whole, F.ceil(F.col("n") * percent / 100)).otherwise(F.least(F.lit(need), F.ceil(F.col("n") * percent / 100)))
-    held = postings.join(common, "value").groupBy("id", "n", "kept").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))
+    shared = postings.join(common, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("values"))
+    held = shared.join(reps.select("id", "n", F.least("n", F.lit(k)).alias("kept")), "id")
     # values of this document alone are its rarest and make no list
     length = F.col("kept") - needed + 1 - (F.col("kept") - F.size("values"))
     listed = held.select("id", "n", F.explode(F.slice("values", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))).alias("x")).select("id", "n", F.col("x.value").alias("value"))
-    shared = listed.groupBy("value").agg(F.count("*").alias("c"), F.min("id").alias("first")).filter("c > 1")
-    return listed.join(shared, "value").select("value", "id", "n", "first")
+    lists = listed.groupBy("value").agg(F.count("*").alias("c"), F.min("id").alias("first")).filter("c > 1")
+    return listed.join(lists, "value").select("value", "id", "n", "first")
 
 
 def _fits(a: str, b: str, percent: int) -> Column:
@@ -129,16 +143,23 @@ def _fits(a: str, b: str, percent: int) -> Column:
     return (F.least(a, b) * 100) >= F.greatest(a, b) * percent
 
 
-def links(pairs: DataFrame, reps: DataFrame, sets: DataFrame, k: int, need: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass the union's sketch and then exact Jaccard."""
-    sketch = reps.select("id", "sketch")
-    both = pairs.join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+def links(pairs: DataFrame, sketches: DataFrame, bodies: DataFrame, words: int, k: int, need: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that pass the union's sketch and then exact Jaccard.
+
+    Sets are not stored: a pass over the documents sends those of b to their partners, and
+    another those of a, once each.
+    """
+    both = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     shared = F.size(F.array_intersect(F.array_intersect(union, F.col("sa")), F.col("sb")))
-    likely = both.filter(shared * k >= F.size(union) * need).select("a", "b")
-    full = likely.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb")), "b").join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa")), "a")
+    likely = materialise(both.filter(shared * k >= F.size(union) * need).select("a", "b"), "likely")
+    digests = sketches.select("id", "digest")
+    of_b = digests.join(likely.groupBy(F.col("b").alias("id")).agg(F.collect_set("a").alias("keys")), "id")
+    of_a = digests.join(likely.select(F.col("a").alias("id")).distinct(), "id").withColumn("keys", F.array("id"))
+    right = full_sets(bodies, materialise(of_b, "wanted"), words).select(F.col("key").alias("a"), F.col("id").alias("b"), F.col("shingles").alias("xb"))
+    left = full_sets(bodies, materialise(of_a, "wanted"), words).select(F.col("key").alias("a"), F.col("shingles").alias("xa"))
     inter = F.size(F.array_intersect("xa", "xb"))
-    return full.filter(inter * 100 >= (F.size("xa") + F.size("xb") - inter) * percent).select("a", "b")
+    return right.join(left, "a").filter(inter * 100 >= (F.size("xa") + F.size("xb") - inter) * percent).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = K, need: int = NEED) -> DataFrame:
@@ -152,19 +173,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     bodies = text_bytes(docs, id_col, text_col)
     sig = materialise(signatures(bodies, words, k), "signatures")
-    reps = materialise(sig.filter("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    sets = sig.filter("digest is not null").select("id", "digest")
+    classes = materialise(sets.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
+    rows = sets.groupBy("id", "digest").agg(F.count("*").alias("c"))
+    copies = materialise(rows.join(classes, "digest").filter("id <> rep or c > 1").select("id", "digest", "c", "rep"), "copies")
+    few = copies.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    gone = copies.filter("id <> rep").select("id", "digest")
+    reps = sig.filter("digest is not null").join(F.broadcast(gone) if few else gone, ["id", "digest"], "left_anti")
+    if not copies.filter("c > 1").isEmpty():
+        reps = reps.dropDuplicates(["id", "digest"])
     lists = materialise(inverted_lists(reps, k, need, percent), "lists")
 
-    members = lists.select("id").distinct()
+    members = materialise(lists.select("id").distinct(), "members")
     small = members.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    wanted = bodies.join(F.broadcast(members) if small else members, "id", "left_semi")
-    sets = full_sets(wanted, words).join(reps.select("id", "digest").join(members, "id", "left_semi"), ["id", "digest"], "left_semi").select("id", "shingles")
-    sets = materialise(sets.dropDuplicates(["id"]), "sets")
+    sketches = materialise(reps.select("id", "n", "digest", "sketch").join(F.broadcast(members) if small else members, "id", "left_semi"), "sketches")
 
-    sizes = reps.select("id", "n")
     star = lists.filter("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b"), F.col("n").alias("nb")).distinct()
-    star = star.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").filter(_fits("na", "nb", percent)).select("a", "b")
-    one = materialise(links(star, reps, sets, k, need, percent), "links")
+    star = star.join(sketches.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").filter(_fits("na", "nb", percent)).select("a", "b")
+    one = materialise(links(star, sketches, bodies, words, k, need, percent), "links")
     part = connected_components(members, one)
 
     placed = lists.select("value", "id", "n").join(part, "id")
@@ -174,10 +200,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     outside = still.filter("component <> largest").select("value", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
     every = still.select("value", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
     rest = outside.join(every, "value").filter("cx <> cy").filter(_fits("nx", "ny", percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    two = materialise(links(rest, reps, sets, k, need, percent), "links")
+    two = materialise(links(rest, sketches, bodies, words, k, need, percent), "links")
 
     final = connected_components(members, one.unionByName(two))
-    of_class = reps.select("digest", "id").join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
+    of_class = classes.select("digest", F.col("rep").alias("id")).join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     return sig.select("id", "n", "digest").join(of_class, "digest", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
 
 
