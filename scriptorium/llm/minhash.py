@@ -8,9 +8,11 @@ must hold one that the other holds among its own; only those are listed, and val
 half of the corpus retains hardly ever are.
 
 Lists are not expanded into pairs. First each member of a list is held against the list's
-smallest id; the links found make components. What then remains of a list are pairs across
-components: members outside the list's largest component against the list. Each candidate
-passes the estimate from the union's sketch, then exact Jaccard on the full sets.
+smallest id; the links found make components. Members outside a list's largest component
+are then held against a few more of the list, in turns, which joins nearly all that belong
+together. What still remains are pairs across components: members outside the largest
+against the list. Each candidate passes the estimate from the union's sketch, then exact
+Jaccard on the full sets.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from .common import connected_components, materialise, text_bytes
 #: Values in a sketch, and how many of them similar sets share at least: 64 draws at a
 #: similarity of 0.8 come below 36 with a probability of 2e-6, at 0.85 of 1e-10.
 K, NEED = 64, 36
+#: Rounds in which what remains of a list is held against a few of its members, and how many.
+TURNS, PROBES = 2, 5
 #: Candidate documents whose ids are broadcast at most; more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 #: Words whose hash a worker keeps at most.
@@ -162,6 +166,27 @@ def links(pairs: DataFrame, sketches: DataFrame, bodies: DataFrame, words: int,
     return right.join(left, "a").filter(inter * 100 >= (F.size("xa") + F.size("xb") - inter) * percent).select("a", "b")
 
 
+def across(lists: DataFrame, part: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the lists that hold several components: members outside the largest (value, x, nx, cx, largest), and all members (value, id, n, cy, largest)."""
+    placed = lists.select("value", "id", "n").join(part, "id")
+    groups = placed.groupBy("value", "component").agg(F.count("*").alias("c"))
+    largest = groups.groupBy("value").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("largest")).filter("parts > 1").select("value", "largest")
+    still = materialise(placed.join(largest, "value"), "open")
+    outside = still.filter("component <> largest").select("value", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), "largest")
+    return outside, still.select("value", "id", "n", F.col("component").alias("cy"), "largest")
+
+
+def probes(outside: DataFrame, inside: DataFrame) -> DataFrame:
+    """(x, nx, y, ny): each member outside against a few of the list, most of them of its largest component.
+
+    The few are those of the least hashes, so lists with the same members choose the same ones.
+    """
+    pick = lambda keep, seed: F.min_by(F.struct("id", "n"), F.when(keep, F.xxhash64("id", F.lit(seed))))
+    main = F.col("cy") == F.col("largest")
+    chosen = inside.groupBy("value").agg(F.array_compact(F.array(*(pick(main, s) for s in range(PROBES)), pick(~main, PROBES), pick(~main, PROBES + 1))).alias("few"))
+    return outside.join(chosen, "value").select("x", "nx", F.explode("few").alias("y")).select("x", "nx", F.col("y.id").alias("y"), F.col("y.n").alias("ny"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = K, need: int = NEED) -> DataFrame:
     """(id, n_shingles, component) of each document row.
 
@@ -190,19 +215,27 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     star = lists.filter("first <> id").select(F.col("first").alias("a"), F.col("id").alias("b"), F.col("n").alias("nb")).distinct()
     star = star.join(sketches.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").filter(_fits("na", "nb", percent)).select("a", "b")
-    one = materialise(links(star, sketches, bodies, words, k, need, percent), "links")
-    part = connected_components(members, one)
-
-    placed = lists.select("value", "id", "n").join(part, "id")
-    groups = placed.groupBy("value", "component").agg(F.count("*").alias("c"))
-    open_lists = groups.groupBy("value").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("c", "component")).alias("largest")).filter("parts > 1").select("value", "largest")
-    still = placed.join(open_lists, "value")
-    outside = still.filter("component <> largest").select("value", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    every = still.select("value", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-    rest = outside.join(every, "value").filter("cx <> cy").filter(_fits("nx", "ny", percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    two = materialise(links(rest, sketches, bodies, words, k, need, percent), "links")
-
-    final = connected_components(members, one.unionByName(two))
+    found = materialise(links(star, sketches, bodies, words, k, need, percent), "links")
+    part = connected_components(members, found)
+    for turn in range(TURNS + 1):
+        outside, inside = across(lists, part)
+        if outside.isEmpty():
+            break
+        if turn < TURNS:
+            pairs = probes(outside, inside)
+        else:
+            values = lists.groupBy("id").agg(F.collect_list("value").alias("values"))
+            x = outside.join(values.select(F.col("id").alias("x"), F.col("values").alias("vx")), "x")
+            y = inside.join(values.withColumnRenamed("values", "vy"), "id").select("value", F.col("id").alias("y"), F.col("n").alias("ny"), "cy", "vy")
+            # of the lists that two members share, the one of the least value makes the pair
+            once = F.col("value") == F.array_min(F.array_intersect("vx", "vy"))
+            pairs = x.join(y, "value").filter((F.col("cx") != F.col("cy")) & _fits("nx", "ny", percent) & once).select("x", "nx", "y", "ny")
+        pairs = pairs.filter(_fits("nx", "ny", percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
+        more = materialise(links(pairs, sketches, bodies, words, k, need, percent), "links")
+        if not more.isEmpty():
+            found = found.unionByName(more)
+            part = connected_components(members, found)
+    final = part
     of_class = classes.select("digest", F.col("rep").alias("id")).join(final, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     return sig.select("id", "n", "digest").join(of_class, "digest", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
 
