@@ -34,8 +34,6 @@ REACH, TERM = 48, r"\p{L}{4,}"
 MIN_CONTEXTS = 3
 #: Share of the entity's own information from which a term discloses it.
 DISCLOSURE = 0.5
-#: Candidate terms that are broadcast at most; more are joined by shuffling.
-BROADCAST_TERMS = 100_000
 
 
 def _digits(x: Column) -> Column:
@@ -121,14 +119,15 @@ def disclosing(docs: DataFrame, entities: DataFrame, terms: DataFrame, text_col:
     pairs = terms.select("kind", "value", "term", "context").distinct().groupBy("kind", "value", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= min_contexts)
     pairs = materialise(pairs, "pairs")
     candidates = pairs.select("term").distinct()
-    few = candidates.limit(BROADCAST_TERMS + 1).count()
-    if not few:
+    if candidates.isEmpty():
         return spark.createDataFrame([], "kind string, value string, term string, information double, ratio double")
     entity = entities.filter("size(base) > 0").select("id", "h", F.explode("contexts").alias("c"))
     seen = entity.select("c.kind", "c.value", "id", "h", F.xxhash64("c.left", "c.right").alias("context"))
     of_entity = seen.groupBy("kind", "value").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("id", "h").alias("docs"))
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"))).alias("term"))
-    of_term = words.join(F.broadcast(candidates) if few <= BROADCAST_TERMS else candidates, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    # counted before the join: each task sends a term once, however often the corpus has it
+    # (a semi-join would be pushed below the counting, and then meets each occurrence)
+    of_term = words.groupBy("term").agg(F.count("*").alias("df")).join(candidates, "term")
     total = entities.count()
     known = pairs.join(of_entity, ["kind", "value"]).join(of_term, "term")
     information = F.log2(F.col("together") / F.col("contexts")) - F.log2(F.col("df") / F.lit(float(total)))
