@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Lexicon, count_words, materialise, unsigned
+from .common import Lexicon, Shared, count_words, materialise, unsigned
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 #: Words in the workers' table, and those of them that are found without hashing.
-TABLE_WORDS, FREQUENT_WORDS = 4_000_000, 60_000
+TABLE_WORDS, FREQUENT_WORDS = 500_000, 60_000
+#: Steps of frequency in each doubling of a word's count.
+COUNT_STEPS = 16
 #: Code points of the longest word in the lattice; a position is a bit of a BIGINT.
 LATTICE_LETTERS = 48
 #: What a unigram model takes off the lowest score for an unknown character.
@@ -169,7 +171,7 @@ def merge_fold(edges: Column, n: Column) -> Column:
         fits = (mask.bitwiseAND(ends) == ends) & (F.bit_count(mask.bitwiseAND(inner)) == 1)
         return F.when(fits, mask.bitwiseAND(F.bitwise_not(inner))).otherwise(mask)
 
-    return F.aggregate(F.array_sort(F.filter(edges, lambda e: e["end"] - e["start"] > 1)), every, take)
+    return F.aggregate(F.sort_array(F.filter(edges, lambda e: e["end"] - e["start"] > 1)), every, take)
 
 
 def viterbi_fold(edges: Column, n: Column, low: float) -> Column:
@@ -226,8 +228,15 @@ class Table:
 def word_table(spark: SparkSession, counts: DataFrame, model: Model, limit: int) -> Table:
     """The table of the most frequent words, all of them where `limit` allows."""
     short = counts.filter((F.length("word") <= LATTICE_LETTERS) & ~F.col("word").startswith(SPACE * 2))
-    if short.count() > limit:
-        short = short.orderBy(F.desc("n"), "word").limit(limit)
+    # the least frequency above which no more than `limit` words are: a filter, not a sort that tasks hold in memory
+    step = F.floor(F.log2("n") * COUNT_STEPS)
+    known, least = 0, -1
+    for r in short.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        known += r.words
+        if known > limit:
+            least = r.step
+            break
+    short = short.filter(step > least)
     frequent = [r.word for r in short.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).collect()]
     got = encode_words(short, model).select(F.xxhash64("word").alias("h"), "ids").toArrow()
     ids = got["ids"].combine_chunks()
@@ -245,7 +254,7 @@ def encode(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     counts = materialise(count_words(texts, _splitter(model), "string"), "words")
-    held = spark.sparkContext.broadcast((model, word_table(spark, counts, model, table_words)))
+    held = Shared(spark, (model, word_table(spark, counts, model, table_words)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, table = held.value
@@ -262,7 +271,7 @@ def encode(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
                 rows = find(words)
                 lengths = np.where(rows >= 0, offsets[rows + 1] - offsets[rows], 0)
                 rest = np.flatnonzero(rows < 0).tolist()
-                if len(memo) > 200_000:
+                if len(memo) > 50_000:
                     memo.clear()
                 for k in rest:
                     if words[k] not in memo:
@@ -298,7 +307,7 @@ def _splitter(model: Model):
 
 def decode(encoded: DataFrame, model: Model) -> DataFrame:
     """(id, ids, text) from (id, ids): the text that the ids spell; null ids give null."""
-    held = encoded.sparkSession.sparkContext.broadcast((model.spell, model.prefix))
+    held = Shared(encoded.sparkSession, (model.spell, model.prefix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell, prefix = held.value

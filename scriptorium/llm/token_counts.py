@@ -18,9 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lexicon, count_words, materialise, unsigned
-from .sentencepiece import BPE, FREQUENT_WORDS, TABLE_WORDS, UNKNOWN_PENALTY, Model, _splitter
+from .common import Lexicon, Shared, count_words, materialise, unsigned
+from .sentencepiece import BPE, FREQUENT_WORDS, UNKNOWN_PENALTY, Model, _splitter
 
+#: Words in the workers' table.
+TABLE_WORDS = 4_000_000
 #: Pairs of pieces that a worker remembers at most.
 KEPT_PAIRS = 2_000_000
 
@@ -87,7 +89,7 @@ class Trie:
 
 def count_pieces(words: DataFrame, model: Model) -> DataFrame:
     """(word, pieces) of distinct words; sorted ranges of them share a trie each."""
-    held = words.sparkSession.sparkContext.broadcast(model)
+    held = Shared(words.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(held.value)
@@ -113,7 +115,7 @@ def token_counts(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_
     top = pieces if total <= table_words else pieces.orderBy(F.desc("n"), "word").limit(table_words)
     frequent = [r.word for r in top.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).collect()]
     got = top.select(F.xxhash64("word").alias("h"), "pieces").toArrow()
-    held = spark.sparkContext.broadcast((Lexicon(unsigned(got["h"].to_numpy()), frequent), got["pieces"].to_numpy().astype(np.int32)))
+    held = Shared(spark, (Lexicon(unsigned(got["h"].to_numpy()), frequent), got["pieces"].to_numpy().astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, values = held.value
