@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .text import blank_guard, tokens
 
-#: A letter for each distinct token of a pair of lines: distances of tokens are distances of letters.
-ALPHABET = "".join(chr(0x4E00 + i) for i in range(20_000))
+#: Where letters for distinct tokens begin: above the surrogates and the byte order mark, with room for a million.
+FIRST_LETTER = 0x10000
 
 
 def char_edits(truth: Column, pred: Column) -> Column:
@@ -16,13 +16,18 @@ def char_edits(truth: Column, pred: Column) -> Column:
 
 
 def _spelt(words: Column, letters: Column) -> Column:
-    return F.array_join(F.transform(words, lambda w: F.substring(F.lit(ALPHABET), F.array_position(letters, w).cast("int"), F.lit(1))), "")
+    code = lambda w: F.lpad(F.hex(F.array_position(letters, w) + (FIRST_LETTER - 1)), 8, "0")
+    return F.decode(F.unhex(F.array_join(F.transform(words, code), "")), "UTF-32")
 
 
 def token_edits(truth: Column, pred: Column) -> Column:
-    """Levenshtein distance of two arrays of words, by the JVM's own on one letter a distinct word."""
-    letters = F.array_union(truth, pred)
-    return F.levenshtein(_spelt(truth, letters), _spelt(pred, letters))
+    """Levenshtein distance of two arrays of words, by the JVM's own on one letter a distinct word.
+
+    More distinct words than there are letters are an error, not a smaller distance.
+    """
+    # a lambda's variable holds the letters, which else are made again for each word
+    once = F.transform(F.array(F.array_union(truth, pred)), lambda letters: F.levenshtein(_spelt(truth, letters), _spelt(pred, letters)))
+    return F.get(once, F.lit(0))
 
 
 def line_metrics(truth: Column, pred: Column) -> dict[str, Column]:
