@@ -537,11 +537,13 @@ def otsu_thresholds(spark, sf_dir):
     return image.otsu_thresholds(p)
 
 
-def _rasters(spark, sf_dir) -> DataFrame:
-    """A small page for each supplier: its parts' keys are grey levels."""
+def _rasters(spark, sf_dir, width: int | None = None) -> DataFrame:
+    """A page for each supplier, of all its parts' keys as grey levels: one row, or rows of a width, the last filled up with white."""
     p = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("page_id")).agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", (F.col("l_partkey") % 256).cast("int").alias("v")))).alias("px"))
-    row = F.transform(F.slice("px", 1, 20 * 30), lambda x: F.lpad(F.hex(x["v"]), 2, "0"))
-    return p.filter(F.size("px") >= 20 * 30).select("page_id", F.lit(20).alias("height"), F.lit(30).alias("width"), F.unhex(F.array_join(row, "")).alias("pixels"))
+    levels = F.array_join(F.transform("px", lambda x: F.lpad(F.hex(x["v"]), 2, "0")), "")
+    w = F.size("px") if width is None else F.lit(width)
+    h = F.ceil(F.size("px") / w).cast("int")
+    return p.select("page_id", h.alias("height"), w.alias("width"), F.unhex(F.rpad(levels, 2 * h * w, "F")).alias("pixels"))
 
 
 @query("""select page_id::varchar as page_id, 20 as height, 30 as width, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std, min(v)::int as min, max(v)::int as max, 1.5::double as ratio from (select l_suppkey as page_id, l_partkey % 256 as v, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey % 256) as i, count(*) over (partition by l_suppkey) as n from lineitem) where n >= 600 and i <= 600 group by 1""")
@@ -551,7 +553,7 @@ def image_statistics(spark, sf_dir):
 
 @query()
 def image_prepared(spark, sf_dir):
-    made = image.mapped(_rasters(spark, sf_dir), image.prepare, binarise=True, target=40)
+    made = image.mapped(_rasters(spark, sf_dir, 30), image.prepare, binarise=True, target=40)
     return made.select("page_id", "height", "width", F.sha2("pixels", 256).alias("sha256"))
 
 

@@ -44,3 +44,15 @@ def test_error_rates_are_of_whole_texts(spark, tmp_path):
 def test_every_distinct_word_counts(spark):
     row = spark.createDataFrame([(["a"], [f"w{i}" for i in range(20_050)])], "t array<string>, p array<string>")
     assert row.select(distance.token_edits(F.col("t"), F.col("p"))).first()[0] == 20_050
+
+
+def test_images_have_all_pages_and_pixels(spark, tmp_path):
+    counts = {1: 7, 2: 600, 3: 601, 4: 95}
+    rows = [(k, i, 1, (i * 37 + k) % 251 + (i == n - 1) * 1004) for k, n in counts.items() for i in range(n)]
+    spark.createDataFrame(rows, "l_suppkey bigint, l_orderkey bigint, l_linenumber int, l_partkey bigint").write.parquet(f"{tmp_path}/lineitem.parquet")
+    values = {str(k): [v % 256 for s, _, _, v in rows if s == k] for k in counts}
+    got = {r.page_id: r for r in queries.image_statistics(spark, str(tmp_path)).collect()}
+    assert {k: (r.height * r.width, r.mean, r.std, r.min, r.max) for k, r in got.items()} == {k: (len(v), pytest.approx(np.mean(v), abs=1e-6), pytest.approx(np.std(v), abs=1e-6), min(v), max(v)) for k, v in values.items()}
+    made = {r.page_id: bytes(r.pixels) for r in queries._rasters(spark, str(tmp_path), 30).collect()}
+    assert made == {k: bytes(v) + b"\xff" * (-len(v) % 30) for k, v in values.items()}
+    assert {r.page_id for r in queries.image_prepared(spark, str(tmp_path)).collect()} == set(values)
