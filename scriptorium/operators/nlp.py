@@ -237,14 +237,26 @@ def document_summaries(analyses: DataFrame) -> DataFrame:
 
 
 def topics(docs: DataFrame, *, text_col: str = "transcription", n_topics: int = 5, words: int = 10, vocabulary: int = 1000, passes: int = 10, seed: int = 42) -> DataFrame:
-    """(topic, words, weights): topics by online LDA over words of two documents at least and 95 % at most."""
-    from pyspark.ml.clustering import LDA
+    """(topic, words, weights): topics by variational LDA over words of two documents at least and 95 % at most.
+
+    Each of the passes reads every document once. The ML estimator cannot do that: it draws
+    its batches with replacement, so a rate of 1 too leaves out a third of the documents in a
+    pass. Its optimizer in the JVM is therefore set up directly.
+    """
     from pyspark.ml.feature import CountVectorizer, StopWordsRemover
 
     split = docs.select(F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) >= 2).alias("all_words"))
     clean = StopWordsRemover(inputCol="all_words", outputCol="words", stopWords=StopWordsRemover.loadDefaultStopWords("french")).transform(split)
     counted = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary, minDF=2.0, maxDF=0.95).fit(clean)
     names = F.array(*(F.lit(w) for w in counted.vocabulary))
-    model = LDA(k=max(2, n_topics), maxIter=passes, optimizer="online", seed=seed).fit(counted.transform(clean))
-    found = model.describeTopics(words)
-    return found.select("topic", F.transform("termIndices", lambda i: F.element_at(names, i + 1)).alias("words"), F.col("termWeights").alias("weights"))
+    spark = docs.sparkSession
+    vectors = counted.transform(clean).select("features").persist()
+    jvm = spark._jvm
+    clustering = jvm.org.apache.spark.mllib.clustering
+    rows = jvm.java.lang.Class.forName("org.apache.spark.ml.clustering.LDA$").getField("MODULE$").get(None).getOldDataset(vectors._jdf, "features")
+    every = clustering.OnlineLDAOptimizer().setMiniBatchFraction(1.0).setSampleWithReplacement(False).setOptimizeDocConcentration(True)
+    model = clustering.LDA().setK(max(2, n_topics)).setMaxIterations(passes).setSeed(seed).setOptimizer(every).run(rows)
+    found = [(k, list(t._1()), list(t._2())) for k, t in enumerate(model.describeTopics(words))]
+    vectors.unpersist()
+    topic = spark.createDataFrame(found, "topic int, termIndices array<int>, weights array<double>")
+    return topic.select("topic", F.transform("termIndices", lambda i: F.element_at(names, i + 1)).alias("words"), "weights")

@@ -56,3 +56,11 @@ def test_images_have_all_pages_and_pixels(spark, tmp_path):
     made = {r.page_id: bytes(r.pixels) for r in queries._rasters(spark, str(tmp_path), 30).collect()}
     assert made == {k: bytes(v) + b"\xff" * (-len(v) % 30) for k, v in values.items()}
     assert {r.page_id for r in queries.image_prepared(spark, str(tmp_path)).collect()} == set(values)
+
+
+def test_topics_see_every_document_in_each_pass(spark):
+    themes = [[f"{a}{b}" for b in "abcde"] for a in ("mer", "nef", "roi", "vin")]
+    rows = [(" ".join(themes[i % 4] * 300),) for i in range(8)]
+    found = nlp.topics(spark.createDataFrame(rows, "text string"), text_col="text", n_topics=8, words=10).collect()
+    best = {w for r in found for w, x in zip(r.words, r.weights) if x > 0.09}
+    assert best == {w for t in themes for w in t}
