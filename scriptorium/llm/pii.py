@@ -1,12 +1,12 @@
 """PII sanitisation guided by information theory; DataFrame functions only.
 
-Base entities (mail and IP addresses, card and phone numbers) are found by patterns. Terms
-near them can give them away too: after Sanchez and Batet ("C-sanitized", 2016), a term t
-discloses an entity e by the pointwise mutual information log2 p(t|e) / p(t), estimated
-from co-occurrence over the whole corpus: p(t) from all documents, p(t|e) from the distinct
-contexts of e. A term whose information reaches a share of e's own, -log2 p(e), is
-sanitised where it stands beside e. Base entities are generalised to their kind, such terms
-removed for a general mark.
+Base entities (mail and IP addresses, card and phone numbers) are found by patterns. Other
+words of a document can give them away too: after Sanchez and Batet ("C-sanitized", 2016), a
+term t discloses an entity e by the pointwise mutual information log2 p(t|e) / p(t), where
+p(t) and p(t|e) are shares of all documents and of those that hold e. A term whose
+information reaches a share of e's own, -log2 p(e), is sanitised wherever it stands in a
+document that holds e. Base entities are generalised to their kind, such terms removed for
+a general mark.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ KINDS = {
 }
 SPAN = "array<struct<start:int,ord:int,end:int,kind:string,value:string>>"
 
-#: Code points of context on either side of an entity, and letters that a term has at least.
-REACH, TERM = 48, r"\p{L}{4,}"
-#: Distinct contexts in which a term must stand beside an entity.
-MIN_CONTEXTS = 3
+#: A term is a whole run of letters, of any length.
+TERM = r"\p{L}+"
+#: Different texts in which a term must stand with an entity: one alone has all its words there, whatever they are.
+MIN_TEXTS = 2
 #: Share of the entity's own information from which a term discloses it.
 DISCLOSURE = 0.5
 
@@ -82,71 +82,71 @@ def base_spans(text: Column) -> Column:
     return F.coalesce(F.array_sort(F.concat(*parts)), none)
 
 
+def _words(text: Column) -> Column:
+    """Distinct terms of a text."""
+    return F.array_distinct(F.transform(F.filter(F.split(text, r"[^\p{L}]+"), lambda w: w != ""), F.lower))
+
+
 def found_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, base, contexts) of each document row; h tells texts of the same id apart."""
+    """(id, h, base, text) of each document row; h tells texts of the same id apart, text is null where there is no entity."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    left_at = lambda s: F.greatest(s["start"] - REACH, F.lit(0))
-    contexts = F.transform(
-        "base",
-        lambda s: F.struct(
-            s["kind"].alias("kind"),
-            F.lower(s["value"]).alias("value"),
-            F.when(left_at(s) > 0, left_at(s)).otherwise(F.lit(0)).alias("left_at"),
-            F.substring(F.col("text"), left_at(s) + 1, s["start"] - left_at(s)).alias("left"),
-            s["end"].alias("right_at"),
-            F.substring(F.col("text"), s["end"] + 1, F.lit(REACH)).alias("right"),
-        ),
-    )
-    return rows.select("id", "h", "base", contexts.alias("contexts"))
-
-
-def _terms(entities: DataFrame) -> DataFrame:
-    """(id, h, kind, value, context, term, start, end): whole terms beside the entities."""
-    rows = entities.filter("size(base) > 0").select("id", "h", F.explode("contexts").alias("c")).select("id", "h", "c.*")
-    # a word that the window cuts is not a term: it is replaced by as many blanks
-    blank = lambda x: F.repeat(F.lit(" "), F.length(x))
-    head, tail = F.regexp_extract("left", r"^\p{L}+", 0), F.regexp_extract("right", r"\p{L}+$", 0)
-    left = F.when(F.col("left_at") > 0, F.concat(blank(head), F.substring(F.col("left"), F.length(head) + 1, F.lit(REACH)))).otherwise(F.col("left"))
-    right = F.when(F.length("right") >= REACH, F.substring(F.col("right"), F.lit(1), F.length("right") - F.length(tail))).otherwise(F.col("right"))
-    both = F.concat(located(left, TERM, "term", len(KINDS), F.col("left_at")), located(right, TERM, "term", len(KINDS), F.col("right_at")))
-    return rows.select("id", "h", "kind", "value", F.xxhash64("left", "right").alias("context"), F.explode(both).alias("s")).select("id", "h", "kind", "value", "context", F.lower("s.value").alias("term"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
-
-
-def disclosing(docs: DataFrame, entities: DataFrame, terms: DataFrame, text_col: str, *, min_contexts: int, disclosure: float) -> DataFrame:
-    """(kind, value, term, information, ratio) of the terms that disclose an entity."""
-    spark = docs.sparkSession
-    pairs = terms.select("kind", "value", "term", "context").distinct().groupBy("kind", "value", "term").agg(F.count("*").alias("together")).filter(F.col("together") >= min_contexts)
-    pairs = materialise(pairs, "pairs")
-    candidates = pairs.select("term").distinct()
-    if candidates.isEmpty():
-        return spark.createDataFrame([], "kind string, value string, term string, information double, ratio double")
-    entity = entities.filter("size(base) > 0").select("id", "h", F.explode("contexts").alias("c"))
-    seen = entity.select("c.kind", "c.value", "id", "h", F.xxhash64("c.left", "c.right").alias("context"))
-    of_entity = seen.groupBy("kind", "value").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("id", "h").alias("docs"))
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"))).alias("term"))
-    # counted before the join: each task sends a term once, however often the corpus has it
-    # (a semi-join would be pushed below the counting, and then meets each occurrence)
-    of_term = words.groupBy("term").agg(F.count("*").alias("df")).join(candidates, "term")
-    total = entities.count()
-    known = pairs.join(of_entity, ["kind", "value"]).join(of_term, "term")
-    information = F.log2(F.col("together") / F.col("contexts")) - F.log2(F.col("df") / F.lit(float(total)))
-    own = F.greatest(-F.log2(F.col("docs") / F.lit(float(total))), F.lit(1e-9))
-    return known.select("kind", "value", "term", information.alias("information"), (information / own).alias("ratio")).filter(F.col("ratio") >= disclosure)
-
-
-def sensitive_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_contexts: int = MIN_CONTEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
+    return rows.select("id", "h", "base", F.when(F.size("base") > 0, F.col("text")).alias("text"))
+
+
+def disclosing(docs: DataFrame, entities: DataFrame, text_col: str, *, min_texts: int, disclosure: float) -> tuple[DataFrame, DataFrame]:
+    """(h, e, n, term): the terms of each text beside each entity e of it, n rows having that text; and (e, term, information, ratio) of those that disclose e."""
+    total = float(entities.count())
+    held = entities.filter("size(base) > 0")
+    values = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
+    texts = held.groupBy("h").agg(F.count("*").alias("n"), F.first(values).alias("values"))
+    of_text = texts.select("h", "n", F.explode("values").alias("e"))
+    # an entity of fewer texts than a term needs has no terms
+    of_entity = materialise(of_text.groupBy("e").agg(F.sum("n").alias("docs"), F.count("*").alias("texts")).filter(F.col("texts") >= min_texts).select("e", "docs"), "values")
+    of_text = materialise(of_text.join(of_entity.select("e"), "e").groupBy("h").agg(F.first("n").alias("n"), F.collect_list("e").alias("values")), "texts")
+    words = held.select("h", _words(F.col("text")).alias("terms")).join(of_text, "h").dropDuplicates(["h"])
+    pairs = words.select("h", "n", F.explode("values").alias("e"), "terms").select("h", "n", "e", F.explode("terms").alias("term"))
+    together = pairs.groupBy("e", "term").agg(F.sum("n").alias("together"), F.count("*").alias("texts")).filter(F.col("texts") >= min_texts).select("e", "term", "together")
+    df = docs.select(F.explode(_words(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    known = together.join(of_entity, "e").join(df, "term")
+    information = F.log2(F.col("together") / F.col("docs")) - F.log2(F.col("df") / F.lit(total))
+    own = F.greatest(-F.log2(F.col("docs") / F.lit(total)), F.lit(1e-9))
+    found = known.select("e", "term", information.alias("information"), (information / own).alias("ratio")).filter(F.col("ratio") >= disclosure)
+    return pairs, materialise(found, "disclosing")
+
+
+def term_spans(text: Column, base: Column, terms: Column) -> Column:
+    """Spans of a text's words that are among the terms and not part of a base entity."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["gap"])
+        end = start + F.length(x["hit"])
+        term = F.lower(x["hit"])
+        span = F.struct(start.alias("start"), F.lit(len(KINDS)).alias("ord"), end.alias("end"), F.lit("term").alias("kind"), term.alias("value"))
+        apart = F.forall(base, lambda s: (s["end"] <= start) | (s["start"] >= end))
+        out = F.when(F.array_contains(terms, term) & apart, F.concat(acc["out"], F.array(span)).cast(SPAN)).otherwise(acc["out"])
+        return F.struct(end.alias("at"), out.alias("out"))
+
+    found = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    pairs = F.zip_with(F.slice(F.split(text, TERM, -1), F.lit(1), F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    return F.aggregate(pairs, zero, add, lambda acc: acc["out"])
+
+
+def sensitive_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_texts: int = MIN_TEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
     """(id, h, base, terms) of each document row: base spans, and spans of disclosing terms.
 
     h is xxhash64 of the text. A null text is an empty one and has no spans; rows that
-    repeat an id are told apart by h. A term counts once in a context however often the
-    same context was copied, so exact copies disclose nothing by their number.
+    repeat an id are told apart by h. All counts are of document rows, but a term and an
+    entity must meet in different texts, so exact copies disclose nothing by their number.
     """
     entities = materialise(found_entities(docs, id_col, text_col), "entities")
-    terms = _terms(entities)
-    flagged = disclosing(docs, entities, terms, text_col, min_contexts=min_contexts, disclosure=disclosure)
-    hits = terms.join(flagged.select("kind", "value", "term"), ["kind", "value", "term"]).groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("ord"), "end", F.lit("term").alias("kind"), F.col("term").alias("value")))).alias("terms"))
-    return entities.select("id", "h", "base").join(hits, ["id", "h"], "left").select("id", "h", "base", F.coalesce("terms", F.array().cast(SPAN)).alias("terms"))
+    pairs, flagged = disclosing(docs, entities, text_col, min_texts=min_texts, disclosure=disclosure)
+    found = pairs.join(flagged.select("e", "term"), ["e", "term"]).groupBy("h").agg(F.collect_set("term").alias("found"))
+    none = F.array().cast(SPAN)
+    spans = F.when(F.col("found").isNotNull(), term_spans(F.col("text"), F.col("base"), F.col("found"))).otherwise(none)
+    hits = entities.filter("size(base) > 0").join(found, "h", "left").select("id", "h", "base", spans.alias("terms"))
+    return hits.unionByName(entities.filter("size(base) = 0").select("id", "h", "base", none.alias("terms")))
 
 
 def joined(spans: Column) -> Column:

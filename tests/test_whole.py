@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import distance
+from scriptorium.llm import pii
 from scriptorium.operators import nlp
 from scriptorium.plans import queries
 
@@ -64,3 +65,15 @@ def test_topics_see_every_document_in_each_pass(spark):
     found = nlp.topics(spark.createDataFrame(rows, "text string"), text_col="text", n_topics=8, words=10).collect()
     best = {w for r in found for w, x in zip(r.words, r.weights) if x > 0.09}
     assert best == {w for t in themes for w in t}
+
+
+def test_terms_disclose_from_anywhere_in_a_document(spark):
+    far = " ".join(["plain filler stands here"] * 10)
+    foot = "Yours, Li Ann, li@sea.org, end of the same long passage that every letter has at its foot."
+    texts = [f"{x} {far} {foot} {far} once more Li" for x in ("first", "second", "third")] + ["one Bo and x@y.org", "two Bo and x@y.org"]
+    texts += [f"{far} the same end of passage and one two more {i}" for i in range(40)]
+    rows = {x.id: x for x in pii.sensitive_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    words = {i: [texts[i][s.start : s.end] for s in rows[i].terms] for i in rows}
+    for i in range(3):
+        assert words[i].count("Li") == 2 and "Ann" in words[i] and "filler" not in words[i] and "li" not in words[i]
+    assert words[3] == words[4] == ["Bo"] and not any(words[i] for i in range(5, 45))
