@@ -3,9 +3,10 @@
 The standard library's streaming parser yields events; each block of a page is a line.
 A line has a text-to-tag ratio: characters of text outside links for each tag in it. The
 ratios are smoothed by a Gaussian and clustered by a threshold (content against
-boilerplate, after Weninger, Hsu and Han, "CETR", 2010). The clusters select the content
-region: the section of the page that holds most of the content's text. All lines of that
-region are the main text, so short paragraphs inside an article stay.
+boilerplate, after Weninger, Hsu and Han, "CETR", 2010). The main text is all that the
+clusters mark as content, wherever it stands, and with it short lines beside it: all lines
+of articles and of the section that holds most of the content, and those between two
+content lines of one section.
 """
 
 from __future__ import annotations
@@ -195,7 +196,15 @@ def main_text(page: str | None) -> str:
         best = max(marked, key=lambda r: (parser.kind[r] == "article", weight[r], -r))
     else:  # the innermost region with nearly all of the content
         best = max((r for r in weight if weight[r] >= 0.8 * total), default=0)
-    return "\n\n".join(x[0] for x in lines if best in x[3])
+    whole = {best} | {r for r in weight if parser.kind[r] == "article" and weight[r] > 0}
+    # smoothing lifts lines of links beside content, which are none
+    chosen = [c and r > 0 or not whole.isdisjoint(regions) for (_, _, _, regions), c, r in zip(lines, content.tolist(), ratio.tolist(), strict=True)]
+    at = np.flatnonzero(content & (ratio > 0)).tolist()
+    for i, j in zip(at, at[1:]):
+        if lines[i][3] == lines[j][3]:
+            for k in range(i + 1, j):
+                chosen[k] = chosen[k] or ratio[k] > 0 and lines[i][3][-1] in lines[k][3]
+    return "\n\n".join(x[0] for x, keep in zip(lines, chosen, strict=True) if keep)
 
 
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", carry: list[str] | None = None) -> DataFrame:

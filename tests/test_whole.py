@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import distance
-from scriptorium.llm import pii
+from scriptorium.llm import html, pii
 from scriptorium.operators import nlp
 from scriptorium.plans import queries
 
@@ -77,3 +77,12 @@ def test_terms_disclose_from_anywhere_in_a_document(spark):
     for i in range(3):
         assert words[i].count("Li") == 2 and "Ann" in words[i] and "filler" not in words[i] and "li" not in words[i]
     assert words[3] == words[4] == ["Bo"] and not any(words[i] for i in range(5, 45))
+
+
+@pytest.mark.parametrize("outer", [("<article>{}</article>", "<article>{}</article>"), ("<main><article>{}</article>", "{}</main>"), ("<div>{}</div>", "<div>{}</div>")])
+def test_content_outside_the_main_region_stays(outer):
+    first = [f"Paragraph {i} has a good many words in it, as texts do, and ends here." for i in range(9)]
+    second = [f"Another text {i} of as many words stands in a section of its own, too." for i in range(2)]
+    tagged = [o.format("".join(f"<p>{x}</p>" for x in part)) for o, part in zip(outer, (first, second))]
+    links = "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(20))
+    assert html.main_text(f"<body><ul>{links}</ul>{''.join(tagged)}<ul>{links}</ul></body>").split("\n\n") == first + second
