@@ -26,9 +26,8 @@ from .common import Lexicon, Shared, count_words, materialise, text_bytes, unsig
 #: The token that ends each text; no word holds a blank.
 END = b" "
 STATES, TOP_WORDS, CLASSES = 4, 8192, 256
-#: Passes of Baum-Welch over all training documents; before them, passes over a bounded
-#: sample of documents, cut to as many tokens, that only choose where to begin.
-PASSES, FIRST_PASSES, FIRST_DOCS, FIRST_TOKENS = 2, 12, 600, 400
+#: Passes of Baum-Welch, each over the whole texts of all training documents.
+PASSES = 14
 #: Words in the workers' table, and those of them that are found without hashing.
 TABLE_WORDS, FREQUENT_WORDS = 6_000_000, 60_000
 #: Tokens in a chunk, steps between scalings, and documents that advance together.
@@ -243,15 +242,9 @@ def _texts(column: pa.Array) -> list[np.ndarray]:
 
 
 def train(learning: DataFrame, share: np.ndarray, *, states: int, passes: int) -> Hmm:
-    """Baum-Welch over (symbols): each pass sums the expected counts of all documents."""
+    """Baum-Welch over (symbols) from random emissions: each pass sums the expected counts of all documents."""
     spark, rng = learning.sparkSession, np.random.default_rng(SEED)
-    sample = learning.select("id", F.slice("symbols", 1, FIRST_TOKENS).alias("symbols")).orderBy(F.xxhash64("id"), "id").limit(FIRST_DOCS).collect()
     hmm = Hmm.begin(share, states, rng)
-    texts = [np.array(r.symbols, np.int64) for r in sample]
-    if not texts:
-        return hmm
-    for _ in range(FIRST_PASSES):
-        hmm = hmm.updated(*hmm.expected(texts), share)
     size = len(share)
     for _ in range(passes):
         held = Shared(spark, hmm)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import distance
-from scriptorium.llm import html, pii
+from scriptorium.llm import hmm, html, pii
 from scriptorium.operators import nlp
 from scriptorium.plans import queries
 
@@ -86,3 +86,15 @@ def test_content_outside_the_main_region_stays(outer):
     tagged = [o.format("".join(f"<p>{x}</p>" for x in part)) for o, part in zip(outer, (first, second))]
     links = "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(20))
     assert html.main_text(f"<body><ul>{links}</ul>{''.join(tagged)}<ul>{links}</ul></body>").split("\n\n") == first + second
+
+
+def test_all_passes_take_whole_texts(spark):
+    rng = np.random.default_rng(3)
+    texts = [np.concatenate([np.zeros(400, int), rng.integers(1, 6, 300) + 5 * (k % 2)]) for k in range(12)]
+    share = np.full(11, 1 / 11)
+    want = hmm.Hmm.begin(share, 2, np.random.default_rng(hmm.SEED))
+    for _ in range(3):
+        want = want.updated(*want.expected(texts), share)
+    rows = spark.createDataFrame([(k, [int(x) for x in t]) for k, t in enumerate(texts)], "id bigint, symbols array<int>")
+    got = hmm.train(rows, share, states=2, passes=3)
+    assert got.emit == pytest.approx(want.emit) and got.move == pytest.approx(want.move)
