@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import logging
+import re
 import tempfile
 import uuid
 from collections import Counter
@@ -10,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     where = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="scratch-")
         sc.setCheckpointDir(where)
     return where.rstrip("/")
@@ -28,23 +33,47 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes df as a table in the shared folder and reads it again, which cuts its lineage.
 
-    The table survives the loss of executors; it is removed when the driver ends.
+    The table survives the loss of executors; it is removed by discard(), or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table.__dict__["scratch_path"] = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of materialise() that nothing reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t.__dict__["scratch_path"])
 
 
 def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # the session has ended; its folder is the cluster's to clear
+        return
     try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the JVM has gone already, and with it what the session owned
-        pass
+    except (Py4JError, OSError) as e:  # a table that stays costs room, not results
+        logging.getLogger(__name__).warning("scratch table %s stays: %s", path, e)
+
+
+#: Rows of ids that are broadcast at most; more are joined by shuffling.
+BROADCAST_IDS = 1_000_000
+
+
+def few(rows: DataFrame, most: int = BROADCAST_IDS) -> bool:
+    """Whether a table is short enough to be broadcast."""
+    return rows.limit(most + 1).count() <= most
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The documents, all columns kept, whose id is not among (id); where ids are few, no document is shuffled."""
+    gone = materialise(ids.filter("id is not null").distinct().withColumnRenamed("id", "__gone"), "gone")
+    return docs.join(F.broadcast(gone) if few(gone) else gone, F.col(id_col) == F.col("__gone"), "left_anti")
 
 
 class Shared:
@@ -153,7 +182,8 @@ def connected_components(vertices: DataFrame, edges: DataFrame, rounds: int = 60
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         small_m = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_m, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        now = materialise(small, "edges")
+        before, now = now, materialise(small, "edges")
+        discard(before)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == was:
             break

@@ -421,6 +421,33 @@ def test_near_duplicates_against_brute_force(spark, words):
     assert kept == {i for i, (_, c) in want.items() if c == i}
 
 
+@pytest.mark.parametrize("dense", [1, 64])
+def test_near_duplicates_of_texts_near_the_threshold_in_small_cells(spark, monkeypatch, dense):
+    """Texts that share a passage of two thirds to nine tenths, in lists cut into many tiles."""
+    for name, value in {"DENSE": dense, "CELL_ROWS": 12, "CELL_SHINGLES": 900, "STAR_ROWS": 4, "COLUMNS": 32}.items():
+        monkeypatch.setattr(minhash, name, value)
+    r = random.Random(4)
+    fresh = lambda n: [f"w{r.randint(0, 10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(3):
+        passage = fresh(120)
+        for _ in range(60):
+            own = r.randint(6, 60)
+            texts.append(" ".join(passage + fresh(own // 2)) + " " + " ".join(passage[: r.randint(1, 30)]))
+    texts += texts[::9]
+    r.shuffle(texts)
+    got = {x.id: (x.n_shingles, x.component) for x in minhash.near_duplicates(docs(spark, texts), words=2).collect()}
+    assert got == brute_components(texts, 2)
+
+
+def test_shared_counts_equal_those_of_sets():
+    r = random.Random(2)
+    sides = [[sorted(r.sample(range(60), r.randint(0, 30))) for _ in range(9)] for _ in range(2)]
+    ragged = [(np.array(sum(x, []), np.int64), np.cumsum([0, *map(len, x)])) for x in sides]
+    got = minhash.shared_counts(*ragged)
+    assert got.tolist() == [[len(set(a) & set(b)) for b in sides[1]] for a in sides[0]]
+
+
 def test_repeated_ids_and_empty_tables(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "quite another text that is here"), (2, "a b c d e f")]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words=2).collect()
