@@ -61,6 +61,8 @@ def _remove(spark: SparkSession, path: str) -> None:
         logging.getLogger(__name__).warning("scratch table %s stays: %s", path, e)
 
 
+#: Steps of frequency in each doubling of a word's count.
+COUNT_STEPS = 16
 #: Rows of ids that are broadcast at most; more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
@@ -93,12 +95,32 @@ class Shared:
         return self.known
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows of an Arrow batch where the session sets none: texts can be long, and each task holds batches on both sides of the pipe."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "0") == "0":
+        spark.conf.set(key, str(rows))
+
+
+def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """Of (word, n) the rows above the least frequency that no more than `limit` rows reach: a filter, not a sort that tasks hold in memory."""
+    step = F.floor(F.log2("n") * COUNT_STEPS)
+    known, least = 0, -1
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
+        known += r.words
+        if known > limit:
+            least = r.step
+            break
+    return counts.filter(step > least)
+
+
 def text_bytes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, body): the id and the text's UTF-8 bytes, null for null."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("body"))
 
 
-def count_words(bodies: DataFrame, words_of: Callable, kind: str = "binary", extra: bytes | None = None, flush: int = 250_000) -> DataFrame:
+def count_words(bodies: DataFrame, words_of: Callable, kind: str = "binary", extra: bytes | None = None, flush: int = 100_000) -> DataFrame:
     """(word, n): how often each word of the bodies (a column `body`, binary or string as kind says) occurs; extra is counted once a row.
 
     Each task combines what it has read before anything is shuffled and holds at most

@@ -6,17 +6,16 @@ higher-order aggregate. For unigram models the fold is Viterbi: the best score a
 position. A BPE model's scores are ranks of merges, not log-probabilities; the best sum of
 them is not what the model encodes. For BPE models the fold therefore runs over the same
 edges by rank, from the left: an edge is taken where its two parts stand as they are. It
-equals the usual encoding, since a piece's rank is below its parts'. (Only runs of blanks
-have equal ranks; words that begin with such a run are left to the worker.)
+equals the usual encoding, since a piece's rank is below its parts'; where ranks are equal
+(runs of blanks), edges come by their ends, shorter ones first.
 
 The words so encoded go to the workers in a compact table of bounded size, and documents
-are encoded where they lie: no document is shuffled. Words beyond the table, or too long
-for the lattice, are encoded by the same merges in the worker.
+are encoded where they lie: no document is shuffled. A word beyond the table, or longer than
+a fold of bits can hold, gets its lattice and the same fold in the worker that meets it.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 
@@ -25,20 +24,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Lexicon, Shared, count_words, materialise, unsigned
+from .common import Lexicon, Shared, count_words, materialise, most_frequent, small_batches, unsigned
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 #: Words in the workers' table, and those of them that are found without hashing.
 TABLE_WORDS, FREQUENT_WORDS = 500_000, 60_000
-#: Steps of frequency in each doubling of a word's count.
-COUNT_STEPS = 16
 #: Code points of the longest word in the lattice; a position is a bit of a BIGINT.
 LATTICE_LETTERS = 48
 #: What a unigram model takes off the lowest score for an unknown character.
 UNKNOWN_PENALTY = 10.0
 
+EDGES = "array<struct<cost:double,end:int,length:int,start:int,id:int>>"
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 
 
@@ -90,35 +88,28 @@ class Model:
         """One word at a time, of any length: what the lattice's fold gives."""
         return self._merged(word) if self.kind == BPE else self._viterbi(word)
 
+    def _edges(self, word: str) -> list[tuple[float, int, int, int]]:
+        """The lattice of one word: (cost, end, length, id) of its substrings that are pieces."""
+        get, score, n = self.pieces.get, self.score, len(word)
+        return [(-score[i], b, b - a, i) for a in range(n) for b in range(a + 1, min(n, a + self.longest) + 1) if (i := get(word[a:b])) is not None]
+
     def _merged(self, word: str) -> list[int]:
-        n, pieces, score = len(word), self.pieces, self.score
-        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue: list = []
-
-        def offer(a: int) -> None:
-            b = right[a]
-            if b < n and (i := pieces.get(word[a : right[b]])) is not None:
-                heapq.heappush(queue, (-score[i], a, right[b], b))
-
-        for a in range(n - 1):
-            offer(a)
-        gone = bytearray(n + 1)
-        while queue:
-            _, a, end, b = heapq.heappop(queue)
-            if gone[a] or gone[b] or right[a] != b or right[b] != end:
-                continue
-            gone[b] = 1
-            right[a] = end
-            if end < n:
-                left[end] = a
-            offer(a)
-            if left[a] >= 0:
-                offer(left[a])
+        """The fold by rank, with a list of borders in place of bits, so of any length."""
+        n = len(word)
+        after, known = list(range(1, n + 2)), {}
+        for _, b, length, i in sorted(self._edges(word)):
+            a = b - length
+            middle = after[a]
+            if length == 1:
+                known[a, b] = i
+            elif middle is not None and middle < b and after[middle] == b:
+                after[a], after[middle] = b, None
+                known[a, b] = i
         out, a = [], 0
         while a < n:
-            i = pieces.get(word[a : right[a]])
+            i = known.get((a, after[a]))
             out += [i] if i is not None else self.unknown_ids(word[a])
-            a = right[a]
+            a = after[a]
         return out
 
     def _viterbi(self, word: str) -> list[int]:
@@ -143,7 +134,7 @@ class Model:
 
 
 def lattice(words: DataFrame, model: Model) -> DataFrame:
-    """(word, edges): for each distinct word, its substrings that are pieces, as (cost, start, end, id).
+    """(word, edges): for each distinct word, its substrings that are pieces, as (cost, end, length, start, id).
 
     The words are dealt out once, by word; explode, join and grouping then stay in place.
     """
@@ -154,7 +145,7 @@ def lattice(words: DataFrame, model: Model) -> DataFrame:
     parts = parts.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("end") - F.col("start")))
     # the piece table is the vocabulary file: its size does not depend on the corpus
     edges = parts.join(F.broadcast(table), "piece")
-    return edges.groupBy("word").agg(F.collect_list(F.struct("cost", "start", "end", "id")).alias("edges"))
+    return edges.groupBy("word").agg(F.collect_list(F.struct("cost", "end", (F.col("end") - F.col("start")).alias("length"), "start", "id")).alias("edges"))
 
 
 def _bit(x: Column) -> Column:
@@ -171,7 +162,7 @@ def merge_fold(edges: Column, n: Column) -> Column:
         fits = (mask.bitwiseAND(ends) == ends) & (F.bit_count(mask.bitwiseAND(inner)) == 1)
         return F.when(fits, mask.bitwiseAND(F.bitwise_not(inner))).otherwise(mask)
 
-    return F.aggregate(F.sort_array(F.filter(edges, lambda e: e["end"] - e["start"] > 1)), every, take)
+    return F.aggregate(F.sort_array(F.filter(edges, lambda e: e["length"] > 1)), every, take)
 
 
 def viterbi_fold(edges: Column, n: Column, low: float) -> Column:
@@ -213,7 +204,7 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     """(word, ids) of distinct words of at most LATTICE_LETTERS code points, by the lattice."""
     own = words.select("word").repartition("word")
     low = min(model.score) - UNKNOWN_PENALTY
-    edges = own.join(lattice(own, model), "word", "left").select("word", F.coalesce("edges", F.array().cast("array<struct<cost:double,start:int,end:int,id:int>>")).alias("edges"))
+    edges = own.join(lattice(own, model), "word", "left").select("word", F.coalesce("edges", F.array().cast(EDGES)).alias("edges"))
     fold = merge_fold(F.col("edges"), F.length("word")) if model.kind == BPE else viterbi_fold(F.col("edges"), F.length("word"), low)
     return segmented(edges.withColumn("borders", fold), model)
 
@@ -227,16 +218,7 @@ class Table:
 
 def word_table(spark: SparkSession, counts: DataFrame, model: Model, limit: int) -> Table:
     """The table of the most frequent words, all of them where `limit` allows."""
-    short = counts.filter((F.length("word") <= LATTICE_LETTERS) & ~F.col("word").startswith(SPACE * 2))
-    # the least frequency above which no more than `limit` words are: a filter, not a sort that tasks hold in memory
-    step = F.floor(F.log2("n") * COUNT_STEPS)
-    known, least = 0, -1
-    for r in short.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
-        known += r.words
-        if known > limit:
-            least = r.step
-            break
-    short = short.filter(step > least)
+    short = most_frequent(counts.filter(F.length("word") <= LATTICE_LETTERS), limit)
     frequent = [r.word for r in short.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).collect()]
     got = encode_words(short, model).select(F.xxhash64("word").alias("h"), "ids").toArrow()
     ids = got["ids"].combine_chunks()
@@ -249,9 +231,11 @@ def encode(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
     """(id, ids) of each document row, whole texts; null and empty texts have no ids.
 
     The model's unknown piece, or its byte pieces where it has them, stand for characters
-    that it lacks. Other columns are ignored.
+    that it lacks. Rows that repeat an id or a text are encoded each by itself, and a word
+    of any length whole. Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     counts = materialise(count_words(texts, _splitter(model), "string"), "words")
     held = Shared(spark, (model, word_table(spark, counts, model, table_words)))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lexicon, Shared, count_words, materialise, unsigned
+from .common import Lexicon, Shared, count_words, materialise, most_frequent, small_batches, unsigned
 from .sentencepiece import BPE, FREQUENT_WORDS, UNKNOWN_PENALTY, Model, _splitter
 
 #: Words in the workers' table.
@@ -104,15 +104,17 @@ def token_counts(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_
 
     Words' counts go to the workers in a compact table of the `table_words` most frequent;
     where there are more words, documents' other words are looked up by a join with all.
-    Other columns are ignored.
+    Rows that repeat an id or a text are counted each by itself, and a word of any length
+    whole. Other columns are ignored.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     split = _splitter(model)
     counts = materialise(count_words(texts, split, "string"), "words")
     pieces = materialise(count_pieces(counts, model).join(counts, "word"), "pieces")
     total = pieces.count()
-    top = pieces if total <= table_words else pieces.orderBy(F.desc("n"), "word").limit(table_words)
+    top = pieces if total <= table_words else most_frequent(pieces, table_words)
     frequent = [r.word for r in top.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).collect()]
     got = top.select(F.xxhash64("word").alias("h"), "pieces").toArrow()
     held = Shared(spark, (Lexicon(unsigned(got["h"].to_numpy()), frequent), got["pieces"].to_numpy().astype(np.int32)))
