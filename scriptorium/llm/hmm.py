@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lexicon, Shared, count_words, materialise, text_bytes, unsigned
+from .common import Lexicon, Shared, count_words, materialise, most_frequent, text_bytes, unsigned
 
 #: The token that ends each text; no word holds a blank.
 END = b" "
@@ -159,8 +159,8 @@ def word_class(word: bytes) -> int:
 class Vocabulary:
     """What workers need of the training counts."""
 
-    def __init__(self, lexicon: Lexicon, counts: np.ndarray, top: list[bytes], mass: np.ndarray, total: int, distinct: int):
-        self.lexicon, self.counts, self.top = lexicon, np.append(counts, 0), {w: i for i, w in enumerate(top)}
+    def __init__(self, lexicon: Lexicon, counts: np.ndarray, symbols: np.ndarray, top: list[bytes], mass: np.ndarray, total: int, distinct: int):
+        self.lexicon, self.counts, self.symbols, self.top = lexicon, np.append(counts, 0), np.append(symbols, -1).astype(np.int32), {w: i for i, w in enumerate(top)}
         self.mass, self.total, self.distinct = mass, total, distinct
 
     def symbol(self, word: bytes) -> int:
@@ -174,17 +174,17 @@ def vocabulary(counts: DataFrame, table_words: int) -> tuple[Vocabulary, np.ndar
     best = counts.orderBy(F.desc("n"), "word").limit(min(FREQUENT_WORDS, table_words)).collect()
     top = [bytes(r.word) for r in best[:TOP_WORDS]]
     spark = counts.sparkSession
-    known = spark.createDataFrame([(w,) for w in top], "word binary")
+    place = spark.createDataFrame([(w, i) for i, w in enumerate(top)], "word binary, place int")
     kind = F.pmod(F.crc32(F.substring("word", -3, 3)), F.lit(CLASSES))
-    classes = counts.join(F.broadcast(known), "word", "left_anti").groupBy(kind.alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
+    classes = counts.join(F.broadcast(place), "word", "left_anti").groupBy(kind.alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
     n, v = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in classes:
         n[r.k], v[r.k] = r.n, r.v
     share = np.concatenate([[r.n for r in best[:TOP_WORDS]], n]) + 1.0
-    table = counts if sums.v <= table_words else counts.orderBy(F.desc("n"), "word").limit(table_words)
-    got = table.select(F.xxhash64("word").alias("h"), "n").toArrow()
+    table = counts if sums.v <= table_words else most_frequent(counts, table_words)
+    got = table.join(F.broadcast(place), "word", "left").select(F.xxhash64("word").alias("h"), "n", F.coalesce("place", kind + len(top)).cast("int").alias("symbol")).toArrow()
     lexicon = Lexicon(unsigned(got["h"].to_numpy()), [bytes(r.word) for r in best])
-    return Vocabulary(lexicon, got["n"].to_numpy().astype(np.int64), top, n + v + 1, sums.n, sums.v), share / share.sum()
+    return Vocabulary(lexicon, got["n"].to_numpy().astype(np.int64), got["symbol"].to_numpy(), top, n + v + 1, sums.n, sums.v), share / share.sum()
 
 
 def encoded(bodies: DataFrame, held, complete: bool) -> DataFrame:
@@ -195,7 +195,6 @@ def encoded(bodies: DataFrame, held, complete: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc: Vocabulary = held.value
-        symbol_of: dict[bytes, int] = {}
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
@@ -207,14 +206,9 @@ def encoded(bodies: DataFrame, held, complete: bool) -> DataFrame:
                     words.append(END)
                     sizes.append(len(w) + 1)
                 rows = voc.lexicon.find(words)
-                if len(symbol_of) > 400_000:
-                    symbol_of.clear()
-                symbols = np.empty(len(words), np.int32)
-                for k, w in enumerate(words):
-                    x = symbol_of.get(w)
-                    if x is None:
-                        x = symbol_of[w] = voc.symbol(w)
-                    symbols[k] = x
+                symbols = voc.symbols[rows]
+                for k in np.flatnonzero(rows < 0).tolist():
+                    symbols[k] = voc.symbol(words[k])
                 here = np.ones(len(words), bool) if complete else rows >= 0
                 c = voc.counts[rows]
                 base = np.where(here, np.log10((c + 1) / (voc.total + voc.distinct + 1)), 0.0)
