@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Shared
+from .common import Shared, small_batches
 
 #: Bytes in a window.
 WINDOW = 64
@@ -25,6 +26,8 @@ HIDDEN, EMBED = 6, 8
 #: The bounded sample of labelled rows that the network learns from, and what is read of each.
 SAMPLE_DOCS, SAMPLE_WINDOWS = 3000, 4
 STEPS, BATCH, RATE, SEED = 150, 96, 0.03, 7
+#: Values of the hash that a sample is drawn by.
+HASHES = 1 << 40
 #: Windows that advance together.
 TOGETHER = 4096
 LETTER = re.compile(r"[^\W\d_]")
@@ -175,23 +178,32 @@ def pooled(net: dict[str, np.ndarray], bodies: list[bytes], k: int) -> np.ndarra
     return total / np.maximum(1, [[len(b)] for b in bodies])
 
 
+def _cuts(spark: SparkSession, cuts: list, kind: T.DataType) -> DataFrame:
+    return spark.createDataFrame(cuts, T.StructType([T.StructField("label", kind), T.StructField("cut", T.LongType())]))
+
+
 def fit(labelled: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> Network | None:
     """Trains on a bounded sample of (id, text, label): `sample_docs` rows by the hash of
     their id, evenly over the labels where there are enough, and of each SAMPLE_WINDOWS
     windows at places spread over its whole text. None where there is nothing to learn from.
     """
     rows = labelled.filter("text is not null and label is not null and length(text) > 0")
-    labels = sorted(r.label for r in rows.select("label").distinct().limit(256).collect())
+    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    labels = sorted(counts)
     if not labels:
         return None
-    body, at = F.col("text").cast("binary"), F.xxhash64("id", F.lit(SEED))
+    body, at = F.col("text").cast("binary"), F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(HASHES))
     part = [F.substring(body, (F.pmod(F.xxhash64("id", F.lit(SEED + 1 + i)), F.greatest(F.lit(1), F.length(body) - WINDOW + 1)) + 1).cast("int"), F.lit(WINDOW)) for i in range(SAMPLE_WINDOWS)]
-    found = None
-    for label in labels:
-        own = rows.filter(F.col("label") == label).select("label", "id", at.alias("h"), F.array(*part).alias("parts")).orderBy("h", "id").limit(max(1, sample_docs // len(labels)))
-        found = own if found is None else found.unionByName(own)
-    sample = found.collect()
-    sample.sort(key=lambda r: (r.h, r.id))
+    # one scan serves all labels: of each, the rows below a hash that some more than are wanted reach
+    each = max(1, sample_docs // len(labels))
+    cuts = [(x, min(HASHES, int(HASHES * (each + 6 * each**0.5 + 20) / n) + 1)) for x, n in counts.items()]
+    cut = _cuts(labelled.sparkSession, cuts, rows.schema["label"].dataType)
+    chosen = rows.withColumn("h", at).join(F.broadcast(cut), "label").filter("h < cut").select("label", "id", "h", F.array(*part).alias("parts"))
+    sample, taken = [], dict.fromkeys(labels, 0)
+    for r in sorted(chosen.collect(), key=lambda r: (r.h, r.id)):
+        if taken[r.label] < each:
+            taken[r.label] += 1
+            sample.append(r)
     code = {x: i for i, x in enumerate(labels)}
     parts = [(bytes(x), code[r.label]) for r in sample for x in r.parts if len(x)]
     x, lengths, owner = windows([b for b, _ in parts])
@@ -209,6 +221,7 @@ def predict(docs: DataFrame, net: Network | None, *, id_col: str = "doc_id", tex
     `und` with score 0 where the text is null, has no letter, or there is no network. The
     first label in order wins ties. Other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     model = Shared(docs.sparkSession, (net.frozen(), net.labels) if net else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
