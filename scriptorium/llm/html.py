@@ -5,8 +5,12 @@ A line has a text-to-tag ratio: characters of text outside links for each tag in
 ratios are smoothed by a Gaussian and clustered by a threshold (content against
 boilerplate, after Weninger, Hsu and Han, "CETR", 2010). The main text is all that the
 clusters mark as content, wherever it stands, and with it short lines beside it: all lines
-of articles and of the section that holds most of the content, and those between two
-content lines of one section.
+of articles and of the section that holds most of the content, the lines that run up to
+that section or on from it, and those between two content lines of one section.
+
+Elements whose role is boilerplate are left out, and elements whose class names say nothing
+else than that; where that would leave nothing, class names do not count. Time and memory
+are linear in a page, however deeply it is nested.
 """
 
 from __future__ import annotations
@@ -32,8 +36,10 @@ SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 # Words of class names and ids that mark boilerplate.
 MARKS = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar sidebar sidenav aside rail breadcrumb breadcrumbs footer header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus replies respond related recommended recommendations pagination pager widget widgets copyright disclaimer skip hidden form".split())
-#: With these, a class name describes a layout or a part of the article.
-LAYOUT = frozenset("has no with without is wrap wrapper container layout page site row col grid".split())
+#: With these, a class name describes a layout or a state.
+LAYOUT = frozenset("has no with without is layout grid".split())
+#: What may stand beside a mark without making it a word of the article: form-factor and related-work are no marks.
+GENERIC = frozenset("main site page left right top bottom inner outer box block area section list lists item items post posts article articles entry entries story stories link links bar bars container wrap wrapper holder content text group primary secondary panel zone region body module small large mobile desktop global local sticky fixed row col column columns unit slot label title heading button buttons icon icons media set my the app".split())
 CONTENT = frozenset("article post entry story content page section title".split())
 #: Marks by which an article element is not the page's own article.
 INSIDE_LISTS = frozenset("ad ads advert advertisement promo sponsored comment comments replies respond related recommended widget".split())
@@ -43,28 +49,44 @@ SPACE = re.compile(r"\s+")
 SIGMA, RADIUS = 1.0, 3
 
 
+class Line:
+    """A block's text, its characters in links, tags since the line before, innermost region, and how many elements had been left out before it."""
+
+    __slots__ = ("text", "linked", "tags", "region", "gap")
+
+    def __init__(self, text: str, linked: int, tags: int, region: int, gap: int):
+        self.text, self.linked, self.tags, self.region, self.gap = text, linked, tags, region, gap
+
+    @property
+    def own(self) -> int:
+        """Characters outside links."""
+        return len(self.text) - min(self.linked, len(self.text))
+
+
 class Blocks(HTMLParser):
-    """Turns events into lines: [text, characters in links, tags, regions around it]."""
+    """Turns events into lines. Regions are numbered as they begin; up has each one's parent, last the highest number inside it."""
 
-    def __init__(self):
+    def __init__(self, by_class: bool):
         super().__init__(convert_charrefs=True)
-        self.lines: list[list] = []
+        self.by_class, self.named = by_class, False
+        self.lines: list[Line] = []
         self.stack: list[tuple[str, bool]] = []
-        self.regions: list[int] = [0]
-        self.n_regions, self.dropped, self.linked, self.tags = 1, 0, 0, 0
-        self.kind = {0: "html"}
+        self.open: dict[str, int] = {}
+        self.inside = [0]
+        self.kind, self.up, self.last = ["html"], [0], [0]
+        self.dropped, self.linked, self.tags, self.gap = 0, 0, 0, 0
         self.text: list[str] = []
         self.in_links = 0
 
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append([text, self.in_links, self.tags, tuple(self.regions)])
+            self.lines.append(Line(text, self.in_links, self.tags, self.inside[-1], self.gap))
             self.tags = 0
         self.text, self.in_links = [], 0
 
     def boilerplate(self, tag: str, attrs: list) -> bool:
-        if tag in BOILERPLATE and not (tag == "header" and any(t == "article" for t, _ in self.stack)):
+        if tag in BOILERPLATE and not (tag == "header" and self.open.get("article")):
             return True
         if tag in ("html", "body", "main"):
             return False
@@ -73,16 +95,17 @@ class Blocks(HTMLParser):
                 return True
             if k == "style" and v and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v):
                 return True
-            if k in ("class", "id") and v and any(self.marked(name, tag) for name in v.split()):
+            if self.by_class and k in ("class", "id") and v and any(self.marked(name, tag) for name in v.split()):
+                self.named = True
                 return True
         return False
 
     def marked(self, name: str, tag: str) -> bool:
-        """Whether one class name or id marks boilerplate."""
+        """Whether one class name or id says that its element is boilerplate, and nothing else."""
         words = {w.lower() for w in WORD.findall(name)}
-        if words & LAYOUT:
-            return False
         marks = words & MARKS
+        if words & LAYOUT or words - MARKS - GENERIC:
+            return False
         if tag == "article":
             marks &= INSIDE_LISTS
         if words & CONTENT:
@@ -103,18 +126,23 @@ class Blocks(HTMLParser):
             return
         drop = tag in SKIPPED or self.boilerplate(tag, attrs)
         self.stack.append((tag, drop))
+        self.open[tag] = self.open.get(tag, 0) + 1
         self.dropped += drop
+        self.gap += drop and tag not in SKIPPED
         self.linked += tag == "a"
         if tag in REGIONS:
-            self.regions.append(self.n_regions)
-            self.kind[self.n_regions] = tag
-            self.n_regions += 1
+            self.up.append(self.inside[-1])
+            self.inside.append(len(self.kind))
+            self.last.append(len(self.kind))
+            self.kind.append(tag)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def close_to(self, tags: set, stop: set) -> None:
         """Ends the innermost open element of these, if nothing of stop lies between."""
+        if not any(self.open.get(t) for t in tags):
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] in tags:
                 self.pop(i)
@@ -125,15 +153,19 @@ class Blocks(HTMLParser):
     def pop(self, i: int) -> None:
         while len(self.stack) > i:
             tag, drop = self.stack.pop()
+            self.open[tag] -= 1
             self.dropped -= drop
             self.linked -= tag == "a"
             if tag in REGIONS:
-                self.regions.pop()
+                r = self.inside.pop()
+                self.last[self.up[r]] = max(self.last[self.up[r]], self.last[r])
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
         self.tags += 1
+        if not self.open.get(tag):
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
                 self.pop(i)
@@ -147,6 +179,14 @@ class Blocks(HTMLParser):
             if self.linked:
                 self.in_links += len(data)
 
+    def finish(self) -> None:
+        self.close()
+        self.flush()
+        self.pop(0)
+
+    def holds(self, region: int, other: int) -> bool:
+        return region <= other <= self.last[region]
+
 
 def smoothed(x: np.ndarray) -> np.ndarray:
     reach = np.arange(-RADIUS, RADIUS + 1)
@@ -173,38 +213,60 @@ def main_text(page: str | None) -> str:
     """The article of a page, its blocks joined by an empty line; empty for null or no content."""
     if not page:
         return ""
-    parser = Blocks()
-    parser.feed(page)
-    parser.close()
-    parser.flush()
-    lines = parser.lines
+    for by_class in (True, False):
+        parser = Blocks(by_class)
+        parser.feed(page)
+        parser.finish()
+        if parser.lines or not parser.named:
+            break
+    return "\n\n".join(x.text for x, keep in zip(parser.lines, chosen(parser), strict=True) if keep)
+
+
+def chosen(page: Blocks) -> list[bool]:
+    """Which lines are the main text."""
+    lines = page.lines
     if not lines:
-        return ""
-    ratio = np.array([(len(t) - min(k, len(t))) / max(1, tags) for t, k, tags, _ in lines])
+        return []
+    ratio = np.array([x.own / max(1, x.tags) for x in lines])
     smooth = smoothed(ratio)
-    content = smooth >= threshold(smooth)
-    weight: dict[int, int] = {}
-    for (text, links, _, regions), c in zip(lines, content.tolist(), strict=True):
+    # smoothing lifts lines of links beside content, which are none
+    content = (smooth >= threshold(smooth)) & (ratio > 0)
+    weight = [0] * len(page.kind)
+    for x, c in zip(lines, content.tolist(), strict=True):
         if c:
-            for r in regions:
-                weight[r] = weight.get(r, 0) + len(text) - min(links, len(text))
-    if not weight:
-        return ""
-    total = weight.get(0, 0)
-    marked = [r for r in weight if parser.kind[r] in ("article", "main") and weight[r] >= 0.3 * total]
+            weight[x.region] += x.own
+    for r in range(len(weight) - 1, 0, -1):
+        weight[page.up[r]] += weight[r]
+    if not weight[0]:
+        return [False] * len(lines)
+    marked = [r for r, w in enumerate(weight) if page.kind[r] in ("article", "main") and w >= 0.3 * weight[0]]
     if marked:
-        best = max(marked, key=lambda r: (parser.kind[r] == "article", weight[r], -r))
+        best = max(marked, key=lambda r: (page.kind[r] == "article", weight[r], -r))
     else:  # the innermost region with nearly all of the content
-        best = max((r for r in weight if weight[r] >= 0.8 * total), default=0)
-    whole = {best} | {r for r in weight if parser.kind[r] == "article" and weight[r] > 0}
-    # smoothing lifts lines of links beside content, which are none
-    chosen = [c and r > 0 or not whole.isdisjoint(regions) for (_, _, _, regions), c, r in zip(lines, content.tolist(), ratio.tolist(), strict=True)]
-    at = np.flatnonzero(content & (ratio > 0)).tolist()
+        best = max(r for r, w in enumerate(weight) if w >= 0.8 * weight[0])
+    whole = [r == best or page.kind[r] == "article" and w > 0 for r, w in enumerate(weight)]
+    for r in range(1, len(whole)):
+        whole[r] = whole[r] or whole[page.up[r]]
+    keep = [c or whole[x.region] for x, c in zip(lines, content.tolist(), strict=True)]
+    if not marked:
+        around(page, best, ratio, keep)
+    at = np.flatnonzero(content).tolist()
     for i, j in zip(at, at[1:]):
-        if lines[i][3] == lines[j][3]:
+        if lines[i].region == lines[j].region:
             for k in range(i + 1, j):
-                chosen[k] = chosen[k] or ratio[k] > 0 and lines[i][3][-1] in lines[k][3]
-    return "\n\n".join(x[0] for x, keep in zip(lines, chosen, strict=True) if keep)
+                keep[k] = keep[k] or ratio[k] > 0 and page.holds(lines[i].region, lines[k].region)
+    return keep
+
+
+def around(page: Blocks, best: int, ratio: np.ndarray, keep: list[bool]) -> None:
+    """Keeps the lines that stand in what surrounds the best region and run up to it, or on from it, with nothing left out between."""
+    lines = page.lines
+    inside = [k for k, x in enumerate(lines) if page.holds(best, x.region)]
+    for start, step in ((inside[0], -1), (inside[-1], 1)):
+        k = start + step
+        while 0 <= k < len(lines) and ratio[k] > 0 and lines[k].gap == lines[k - step].gap and page.holds(lines[k].region, best):
+            keep[k] = True
+            k += step
 
 
 def extract_pages(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", carry: list[str] | None = None) -> DataFrame:
