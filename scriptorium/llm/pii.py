@@ -21,13 +21,15 @@ from .common import materialise
 # Mail: a local part starts where its run of characters starts, or where the last match ended;
 # card: a whole run of digits between single separators, of 12 to 19 digits.
 KINDS = {
-    "email": ("@", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,1000}+"),
+    "email": ("@", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"),
     "ip": (r"[0-9]\.[0-9]", r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
     "card": (r"[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]", r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])"),
     "phone": (r"\+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]"),
 }
 SPAN = "array<struct<start:int,ord:int,end:int,kind:string,value:string>>"
 
+#: Elements of an array that grow by appending, before the next block begins.
+STEPS = 256
 #: A term is a whole run of letters, of any length.
 TERM = r"\p{L}+"
 #: Different texts in which a term must stand with an entity: one alone has all its words there, whatever they are.
@@ -54,18 +56,33 @@ VALID = {
 }
 
 
-def located(text: Column, pattern: str, kind: str, order: int, offset: Column | None = None) -> Column:
+def _bound(x: Column, use) -> Column:
+    """use(x), with x evaluated once: inside a lambda an outer expression is made again for each element."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def running(sizes: Column) -> Column:
+    """Sums of an array up to and with each element: in blocks, since an array that grows by one is copied each time."""
+    last = lambda a: F.coalesce(F.get(a, F.size(a) - 1), F.lit(0))
+    append = lambda a, x: F.concat(a, F.array(last(a) + x))
+    none = F.array().cast("array<int>")
+    parts = lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(s) / F.lit(STEPS)).cast("int"), F.lit(1)) - 1), lambda b: F.aggregate(F.slice(s, b * STEPS + 1, F.lit(STEPS)), none, append))
+    before = lambda blocks: F.aggregate(blocks, F.array(F.lit(0)), lambda a, b: F.concat(a, F.array(F.element_at(a, -1) + last(b))))
+    joined = lambda blocks: _bound(before(blocks), lambda base: F.flatten(F.transform(blocks, lambda b, i: F.transform(b, lambda x: x + F.get(base, i)))))
+    return _bound(sizes, lambda s: _bound(parts(s), joined))
+
+
+def located(text: Column, pattern: str, kind: str, order: int) -> Column:
     """All matches of a pattern with their code point offsets: what split leaves lies between them."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct((offset if offset is not None else F.lit(0)).cast("int").alias("at"), F.array().cast(SPAN).alias("out"))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), x["hit"].alias("value")))).cast(SPAN).alias("out"))
+    def spans(hits: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), lambda g: F.length(g))
+        ends = running(F.zip_with(gaps, hits, lambda g, h: g + F.length(h)))
+        span = lambda end, h: F.struct((end - F.length(h)).alias("start"), F.lit(order).alias("ord"), end.alias("end"), F.lit(kind).alias("kind"), h.alias("value"))
+        return F.zip_with(ends, hits, span).cast(SPAN)
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, zero, add, lambda acc: acc["out"])
+    return _bound(found, lambda hits: F.when(F.size(hits) > 0, spans(hits)).otherwise(F.array().cast(SPAN)))
 
 
 def _valid(spans: Column, test) -> Column:
@@ -117,20 +134,11 @@ def disclosing(docs: DataFrame, entities: DataFrame, text_col: str, *, min_texts
 
 def term_spans(text: Column, base: Column, terms: Column) -> Column:
     """Spans of a text's words that are among the terms and not part of a base entity."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        term = F.lower(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(len(KINDS)).alias("ord"), end.alias("end"), F.lit("term").alias("kind"), term.alias("value"))
-        apart = F.forall(base, lambda s: (s["end"] <= start) | (s["start"] >= end))
-        out = F.when(F.array_contains(terms, term) & apart, F.concat(acc["out"], F.array(span)).cast(SPAN)).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
-
-    found = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(text, TERM, -1), F.lit(1), F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, zero, add, lambda acc: acc["out"])
+    every = located(text, TERM, "term", len(KINDS))
+    apart = lambda t: F.forall(base, lambda s: (s["end"] <= t["start"]) | (s["start"] >= t["end"]))
+    lower = lambda t: F.lower(t["value"])
+    named = F.filter(every, lambda t: F.array_contains(terms, lower(t)) & apart(t))
+    return F.transform(named, lambda t: t.withField("value", lower(t))).cast(SPAN)
 
 
 def sensitive_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_texts: int = MIN_TEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -155,14 +163,25 @@ def joined(spans: Column) -> Column:
 
 
 def sanitised(text: Column, spans: Column) -> Column:
-    """The text with each span, overlapping ones as one, replaced by its kind in brackets."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each span, overlapping ones as one, replaced by its kind in brackets.
+
+    spans come by start. What follows a span up to the next that begins behind all ends so
+    far is a piece of text; pieces are joined once.
+    """
+
+    def furthest(s: Column) -> Column:
+        """The greatest end up to each span."""
+        most = lambda a, x: F.concat(a, F.array(F.greatest(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)), x)))
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.size(s) / F.lit(STEPS)).cast("int") - 1), lambda b: F.aggregate(F.transform(F.slice(s, b * STEPS + 1, F.lit(STEPS)), lambda x: x["end"]), F.array().cast("array<int>"), most))
+        over = lambda bs: F.aggregate(bs, F.array(F.lit(0)), lambda a, b: F.concat(a, F.array(F.greatest(F.element_at(a, -1), F.element_at(b, -1)))))
+        return _bound(blocks, lambda bs: _bound(over(bs), lambda base: F.flatten(F.transform(bs, lambda b, i: F.transform(b, lambda x: F.greatest(x, F.get(base, i)))))))
 
-    def step(acc: Column, s: Column) -> Column:
-        put = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], put).otherwise(acc["out"]).alias("out"))
+    def written(s: Column, ends: Column) -> Column:
+        begin = lambda i: F.when(i > 0, F.get(ends, i - 1)).otherwise(0)
+        piece = lambda x, i: F.when(x["start"] >= begin(i), F.concat(F.substring(text, begin(i) + 1, x["start"] - begin(i)), F.lit("["), F.upper(x["kind"]), F.lit("]"))).otherwise(F.lit(""))
+        return F.concat(F.array_join(F.transform(s, piece), ""), F.substring(text, F.get(ends, F.size(ends) - 1) + 1, F.length(text)))
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))).otherwise(text)
+    return F.when(F.size(spans) > 0, _bound(spans, lambda s: _bound(furthest(s), lambda ends: written(s, ends)))).otherwise(text)
 
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
