@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import few, materialise, without_ids
 
 #: Pseudo-documents by which a host leans on the global share, and a path on its host.
 HOST_WEIGHT, PATH_WEIGHT = 20.0, 20.0
@@ -124,7 +124,7 @@ def posterior(bins: DataFrame, labels: DataFrame, ratio: dict[str, list[float]],
     paths = scored.groupBy("host", "path").agg(F.sum("p").alias("path_good"), F.count("*").alias("path_n"))
     hosts = paths.groupBy("host").agg(F.sum("path_good").alias("host_good"), F.sum("path_n").alias("host_n"))
     sites = materialise(paths.join(hosts, "host"), "sites")
-    sites = F.broadcast(sites) if sites.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES else sites
+    sites = F.broadcast(sites) if few(sites, BROADCAST_SITES) else sites
     host = (F.col("host_good") - F.col("p") + HOST_WEIGHT * share) / (F.col("host_n") - 1 + HOST_WEIGHT)
     path = (F.col("path_good") - F.col("p") + PATH_WEIGHT * host) / (F.col("path_n") - 1 + PATH_WEIGHT)
     prior = F.least(F.greatest(_logit(F.least(F.greatest(path, F.lit(1e-9)), F.lit(1 - 1e-9))), F.lit(-PRIOR_REACH)), F.lit(PRIOR_REACH))
@@ -146,7 +146,6 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents, all columns kept, that the classifier does not reject."""
+    """The documents, all columns kept, that the classifier does not reject; rows that share an id go together if any of them goes."""
     id_col = options.get("id_col", "doc_id")
-    bad = classify(docs, labels, **options).filter("not kept").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti")
+    return without_ids(docs, classify(docs, labels, **options).filter("not kept").select("id"), id_col)
