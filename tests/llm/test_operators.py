@@ -142,6 +142,74 @@ def test_pages_without_an_article_element():
     assert html.main_text(f"<body><div><ul>{links}</ul></div><div><h1>Head</h1>{body}</div></body>").count("Paragraph") == 5
 
 
+def test_class_names_are_a_sign_and_no_more():
+    body = "".join(f"<p>Paragraph {i} has a good many words in it, as texts do, and ends here.</p>" for i in range(4))
+    text = [f"Paragraph {i} has a good many words in it, as texts do, and ends here." for i in range(4)]
+    assert html.main_text(f"<body><article class='post form-factor'>{body}</article></body>").split("\n\n") == text
+    assert html.main_text(f"<body><article>{body}<section class='related-work'><p>Earlier work did less.</p></section></article></body>").split("\n\n") == [*text, "Earlier work did less."]
+    assert html.main_text(f"<body><div class='comments'>{body}</div></body>").split("\n\n") == text  # nothing else is there
+    assert html.main_text(f"<body><div>{body}</div><div class='comments'>{body}{body}</div></body>").split("\n\n") == text
+    for name in ("site-footer", "sidebar-container", "nav-wrapper", "share-buttons", "comment-list"):
+        assert html.main_text(f"<body><div>{body}</div><div class={name}><p>Something else that nobody came here for, at some length.</p></div></body>").split("\n\n") == text
+    assert html.main_text(f"<body class='has-sidebar'><div class='page-with-sidebar'>{body}</div></body>").split("\n\n") == text
+
+
+def test_short_lines_around_the_main_section():
+    body = "".join(f"<p>Paragraph {i} has a good many words in it, as texts do, and ends here.</p>" for i in range(9))
+    assert html.main_text(f"<body><p>Lead.</p><div>{body}</div><p>End.</p></body>").split("\n\n")[:: len("ab") * 5] == ["Lead.", "End."]
+    deep = "".join(f"<div>Line {i}" for i in range(2000))
+    assert html.main_text(deep).split("\n\n") == [f"Line {i}" for i in range(2000)]
+
+
+@pytest.mark.parametrize("page", ["<div>x" * 30_000, "<b>" * 30_000 + "</i>" * 30_000 + "x", "<div>" * 30_000 + "</section>" * 30_000 + "x", "<p><section>x" * 20_000, "<ul><li>x" * 20_000])
+def test_deep_pages_take_linear_time(page):
+    import time
+
+    began = time.perf_counter()
+    assert html.main_text(page)
+    assert time.perf_counter() - began < 20
+
+
+def test_generated_pages_give_what_they_were_made_of():
+    """Pages are put together from known blocks: what was put into the article comes back, in order, and nothing else."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghilmnoprstuvé") for _ in range(r.randint(2, 9)))
+    words = lambda a, b: " ".join(word() for _ in range(r.randint(a, b)))
+    link = lambda: f"<a href='/{word()}'>{words(1, 4)}</a>"
+    noise = [
+        lambda: f"<nav><ul>{''.join(f'<li>{link()}' for _ in range(r.randint(2, 9)))}</ul></nav>",
+        lambda: f"<div class='{r.choice(['ad', 'ad-banner', 'cookie-notice', 'sidebar', 'newsletter signup'])}'><p>{words(3, 30)}</p></div>",
+        lambda: f"<aside><h3>{words(1, 3)}</h3><p>{words(5, 40)}</p></aside>",
+        lambda: f"<section id=comments><p>{words(5, 60)}</p><p>{words(5, 60)}</p></section>",
+        lambda: f"<form>{words(2, 5)}<input name=q><button>{words(1, 2)}</button></form>",
+        lambda: f"<script>var a = '<p>{words(2, 9)}</p>';</script><style>p {{}}</style><!-- {words(1, 9)} -->",
+    ]
+
+    def block(truth):
+        text = words(8, 60)
+        truth.append(text)
+        kind = r.randrange(4)
+        if kind == 0:
+            return f"<p>{text}</p>"
+        if kind == 1:
+            return f"<p>{text}"  # ended by the next block
+        if kind == 2:
+            half = len(text) // 2
+            return f"<p>{text[:half]}<b>{text[half:]}</b></p>".replace(" ", r.choice([" ", "\n", "  \t"]))
+        return f"<blockquote>{text}</blockquote>".replace("é", "&eacute;")
+
+    for _ in range(200):
+        truth, parts = [], []
+        title = words(2, 6)
+        truth.append(title)
+        inside = "".join(block(truth) + (r.choice(noise)() if r.random() < 0.15 else "") for _ in range(r.randint(3, 12)))
+        outside = [r.choice(noise)() for _ in range(r.randint(0, 6))]
+        k = r.randint(0, len(outside))
+        tag = r.choice(["article", "main", "article class='post'"])
+        parts = [f"<header><p>{words(1, 4)}</p></header>", *outside[:k], f"<{tag}><h1>{title}</h1>{inside}</{tag.split()[0]}>", *outside[k:], f"<footer>&copy; {words(2, 6)}</footer>"]
+        assert html.main_text("<!DOCTYPE html><html><body>" + "".join(parts) + "</body></html>") == "\n\n".join(truth)
+
+
 def test_page_rows(spark):
     rows = [(1, "u", None), (2, "u", ""), (3, "u", PAGE), (3, "u", PAGE), (4, "u", "plain text"), (5, None, "<p>open <b>" + "x " * 100_000)]
     got = html.extract_pages(spark.createDataFrame(rows, "page_id bigint, url string, html string"), carry=["url"]).collect()
@@ -308,7 +376,7 @@ def test_base_spans_against_brute_force(spark):
     r = random.Random(7)
     texts = ["".join(r.choice("ab.@-+ 12345()_%é🙂\n") for _ in range(r.randint(0, 60))) for _ in range(1500)]
     texts += ["".join(r.choice("0123456789 -.+4") for _ in range(r.randint(10, 60))) for _ in range(1500)]
-    texts += ["4111 1111 1111 1111", "1-2--4111111111111111", "a@b.c_x@d.e", "1.2.3.4.5.6.7.8", "999.1.1.1", "9" * 30_000, "a" * 30_000 + "@b.c", "01.002.0003.255", *AWKWARD]
+    texts += ["4111 1111 1111 1111", "1-2--4111111111111111", "a@b.c_x@d.e", "1.2.3.4.5.6.7.8", "999.1.1.1", "9" * 30_000, "a" * 30_000 + "@b.c", "01.002.0003.255", "x@a" + ".b" * 50_000 + " y@c.d", "é a@b.c " * 3000, *AWKWARD]
     got = {x.id: x for x in pii.sensitive_spans(docs(spark, texts)).select("id", pii.joined(F.col("base")).alias("b")).collect()}
     assert [got[i].b for i in range(len(texts))] == [brute_spans(t) for t in texts]
     assert any("card" in x.b for x in got.values())
@@ -325,6 +393,24 @@ def test_terms_that_disclose_an_entity_are_removed(spark):
     assert "[EMAIL]" in clean[60] and "Gandalf" not in clean[60] and clean[0] == filler[0] and len(clean) == len(texts)
 
 
+def test_overlapping_spans_become_one_mark(spark):
+    r = random.Random(1)
+    rows = []
+    for i in range(60):
+        text = "".join(r.choice("abé🙂 ") for _ in range(r.randint(1, 900)))
+        spans = sorted((a := r.randrange(len(text)), r.randint(a + 1, min(len(text), a + 5))) for _ in range(r.choice([0, 1, 3, 300])))
+        rows.append((i, text, [(s, 0, e, "x", "") for s, e in spans]))
+    frame = spark.createDataFrame(rows, f"id bigint, text string, spans {pii.SPAN}")
+    got = {x.id: x.out for x in frame.select("id", pii.sanitised(F.col("text"), F.col("spans")).alias("out")).collect()}
+    for i, text, spans in rows:
+        out, at = "", 0
+        for s, _, e, _, _ in spans:
+            if s >= at:
+                out += text[at:s] + "[X]"
+            at = max(at, e)
+        assert got[i] == out + text[at:]
+
+
 def test_copies_of_one_context_disclose_nothing(spark):
     texts = ["Plain words without anything to hide."] * 30 + ["Only Saruman knows s@ring.org today."] * 30
     assert all(not x.terms for x in pii.sensitive_spans(docs(spark, texts)).collect())
