@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank_guard, tokens
+from .text import blank_guard, once, tokens
 
 #: Where letters for distinct tokens begin: above the surrogates and the byte order mark, with room for a million.
 FIRST_LETTER = 0x10000
@@ -25,9 +25,7 @@ def token_edits(truth: Column, pred: Column) -> Column:
 
     More distinct words than there are letters are an error, not a smaller distance.
     """
-    # a lambda's variable holds the letters, which else are made again for each word
-    once = F.transform(F.array(F.array_union(truth, pred)), lambda letters: F.levenshtein(_spelt(truth, letters), _spelt(pred, letters)))
-    return F.get(once, F.lit(0))
+    return once(F.array_union(truth, pred), lambda letters: F.levenshtein(_spelt(truth, letters), _spelt(pred, letters)))
 
 
 def line_metrics(truth: Column, pred: Column) -> dict[str, Column]:

@@ -89,16 +89,14 @@ ABBREVIATIONS = (
     ("q\u0365", "qui"), ("q\u0366", "quo"), ("r\u0303i", "regis"), ("r\u0303e", "regis"), ("t\u0303", "ter"), ("t\u0303e", "terre"),
 )
 # Spellings in their order of replacement.
-VARIANTS = tuple(
-    x.split(":")
-    for x in (
-        "sieruos:servos seruus:servus seruos:servos cartam:chartam carta:charta carte:charte testimonium:testimonium testimonio:testimonio "
-        "sigillum:sigillum sigillo:sigillo monasterio:monasterio monasterium:monasterium capitulo:capitulo capitulum:capitulum "
-        "conuentus:conventus conuentu:conventu ecclesia:ecclesia ecclesie:ecclesiae ciuitas:civitas ciuitate:civitate "
-        "nostre:nostre nostri:nostri seigneur:seigneur donne:donne donna:donna chartre:chartre charte:charte tres:très "
-        "aucuns:aucuns aucunes:aucunes vostre:vostre dit:dit dite:dite"
-    ).split()
-)
+VARIANTS = (
+    ("sieruos", "servos"), ("seruus", "servus"), ("seruos", "servos"), ("cartam", "chartam"), ("carta", "charta"), ("carte", "charte"),
+    ("testimonium", "testimonium"), ("testimonio", "testimonio"), ("sigillum", "sigillum"), ("sigillo", "sigillo"), ("monasterio", "monasterio"),
+    ("monasterium", "monasterium"), ("capitulo", "capitulo"), ("capitulum", "capitulum"), ("conuentus", "conventus"), ("conuentu", "conventu"),
+    ("ecclesia", "ecclesia"), ("ecclesie", "ecclesiae"), ("ciuitas", "civitas"), ("ciuitate", "civitate"), ("nostre", "nostre"), ("nostri", "nostri"),
+    ("seigneur", "seigneur"), ("donne", "donne"), ("donna", "donna"), ("chartre", "chartre"), ("charte", "charte"), ("tres", "très"),
+    ("aucuns", "aucuns"), ("aucunes", "aucunes"), ("vostre", "vostre"), ("dit", "dit"), ("dite", "dite"),
+)
 
 # Whole-word language markers.
 LATIN_WORDS = "et in ad de cum per pro sub inter super infra supra ante post ego nos tu vos ille ista ipse est sunt erat fuit factum datum qui quae quod cuius cui quem".split()

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,6 +20,11 @@ from . import lexicons as lex
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """use(x), with x evaluated once for a row: what stands inside a lambda is else made again for each element."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, f"^{WS}+|{WS}+$", "")
 
@@ -52,39 +57,40 @@ def _overlap(words: Column, lexicon: list[str]) -> Column:
     return F.size(F.array_intersect(words, F.array(*(F.lit(w) for w in dict.fromkeys(lexicon)))))
 
 
-def language_scores(x: Column) -> tuple[Column, Column]:
-    """How many distinct Latin and French marker words a text has."""
-    words = word_set(F.coalesce(x, F.lit("")))
-    return _overlap(words, lex.LATIN_WORDS), _overlap(words, lex.FRENCH_WORDS)
+def language_counts(x: Column) -> Column:
+    """latin and french: how many distinct marker words of each a text has."""
+    return once(word_set(F.coalesce(x, F.lit(""))), lambda w: F.struct(_overlap(w, lex.LATIN_WORDS).alias("latin"), _overlap(w, lex.FRENCH_WORDS).alias("french")))
 
 
-def language(x: Column) -> Column:
+
+def dominant(latin: Column, french: Column) -> Column:
     """latin or old_french where one count exceeds 1.5 times the other, else mixed (also without words)."""
-    latin, french = language_scores(x)
     return F.when(latin * 2 > french * 3, "latin").when(french * 2 > latin * 3, "old_french").otherwise("mixed")
 
 
-def _substrings(x: Column, markers: list[str]) -> Column:
-    lower = F.lower(F.coalesce(x, F.lit("")))
-    total = F.lit(0)
-    for m in markers:
-        total = total + F.contains(lower, F.lit(m)).cast("int")
-    return total
+def language(x: Column) -> Column:
+    return once(language_counts(x), lambda n: dominant(n["latin"], n["french"]))
+
+
+def _substrings(x: Column, french: list[str], latin: list[str]) -> Column:
+    """french and latin: how many markers of each list stand in a text, those that a list names twice counted twice."""
+    count = lambda lower, markers: sum((F.contains(lower, F.lit(m)).cast("int") for m in markers), F.lit(0))
+    return once(F.lower(F.coalesce(x, F.lit(""))), lambda t: F.struct(count(t, french).alias("french"), count(t, latin).alias("latin")))
 
 
-def old_french_scores(x: Column) -> tuple[Column, Column]:
-    return _substrings(x, lex.FRENCH_FILTER), _substrings(x, lex.LATIN_FILTER)
+def old_french(x: Column) -> Column:
+    """french, latin (counts of markers) and is_old_french."""
+    flag = lambda n: F.struct(n["french"].alias("french"), n["latin"].alias("latin"), ((n["french"] > n["latin"]) & (n["french"] >= 2)).alias("is_old_french"))
+    return once(_substrings(x, lex.FRENCH_FILTER, lex.LATIN_FILTER), flag)
 
 
 def is_old_french(x: Column) -> Column:
-    french, latin = old_french_scores(x)
-    return (french > latin) & (french >= 2)
+    return old_french(x)["is_old_french"]
 
 
 def corpus_language(x: Column) -> Column:
     """old_french or latin by the larger count of substring markers, unknown where they tie."""
-    french, latin = _substrings(x, lex.FRENCH_CORPUS), _substrings(x, lex.LATIN_CORPUS)
-    return F.when(french > latin, "old_french").when(latin > french, "latin").otherwise("unknown")
+    return once(_substrings(x, lex.FRENCH_CORPUS, lex.LATIN_CORPUS), lambda n: F.when(n["french"] > n["latin"], "old_french").when(n["latin"] > n["french"], "latin").otherwise("unknown"))
 
 
 # Confidence by error rate, upper bounds of half-open ranges.

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import corpus
 
 # Allowed values of the contract.
 REGION_TYPES = ("main_text", "marginalia", "heading", "illustration", "unknown")
 COORDINATES, GEOMETRY, UNIT, MODEL = "origin_top_left", "Polygon", "pixels", "trocr-lora-v1"
 
+#: Contracts whose lines of one place are numbered together.
+CONTRACTS = 4096
+
 LINE = ["line_id", "transcription", "confidence", "geometry", "needs_review", "reading_order", "region_type", "model_version"]
 
 
@@ -91,12 +95,13 @@ def merge(contract: DataFrame, merged_id: str, *, contract_ord: str = "contract_
     """Lines of several contracts as one document, numbered anew.
 
     Lines of different pages interleave by reading order, as contracts are listed;
-    strict_pages keeps each page together. Numbering a whole manuscript is one sort of one
-    document's lines.
+    strict_pages keeps each page together. Lines are numbered by contract, or by place and
+    a range of contracts, so no task holds them all.
     """
+    near = F.floor(F.col(contract_ord) / CONTRACTS)
+    chunk = {"__a": F.col(contract_ord)} if strict_pages else {"__a": F.col("reading_order"), "__b": near}
     keys = [contract_ord, "reading_order", line_ord] if strict_pages else ["reading_order", contract_ord, line_ord]
-    w = Window.partitionBy(F.lit(merged_id)).orderBy(*keys)
-    return contract.withColumn("reading_order", (F.row_number().over(w) - 1).cast("int")).withColumn("document_id", F.lit(merged_id))
+    return corpus.ranked(contract, chunk, keys, "__rank").withColumns({"reading_order": F.col("__rank").cast("int"), "document_id": F.lit(merged_id)}).drop("__rank")
 
 
 def review_summary(contract: DataFrame, *by: str) -> DataFrame:

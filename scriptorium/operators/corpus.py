@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -15,42 +15,54 @@ def first_rows(rows: DataFrame, n: int, *order: str) -> DataFrame:
     return rows.orderBy(*order).limit(n)
 
 
+def lot(seed: int, key: str) -> Column:
+    """A hash by which rows are drawn and dealt: the same ones each time, on any engine."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
 def random_rows(rows: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """n rows by a hash of their key: the same ones each time."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
+    return rows.orderBy(lot(seed, key), key).limit(n)
 
 
 def split(rows: DataFrame, *, key: str, text_col: str = "text", total: int | None = 400, ratios: tuple = RATIOS, old_french_only: bool = False, seed: int = 42) -> DataFrame:
     """Adds split (train, dev, test) and img_name: filter first, then the first `total` by key, dealt by hash.
 
     Sizes are int(n * train), int(n * dev) and the rest. The dealt rows are `total` at most;
-    with total None, ranks come from hash ranges: rows are counted by range and numbered
-    inside each, so no task holds them all.
+    with total None, ranks come from hash ranges, more of them the more rows there are.
     """
     if abs(sum(ratios) - 1.0) >= 1e-6:
         raise ValueError("ratios must sum to 1")
     taken = rows.filter(text.is_old_french(F.col(text_col))) if old_french_only else rows
     if total is not None:
         taken = first_rows(taken, total, key)
-    ranked, n = _ranked(taken.withColumn("__h", F.xxhash64(F.lit(seed), key)), ["__h", key])
+    n = taken.count()
+    digits = 1 + (n // CHUNK_ROWS).bit_length() // 4
+    dealt = taken.withColumn("__h", lot(seed, key))
+    placed = ranked(dealt, {"__range": F.substring("__h", 1, digits)}, ["__h", key], "__rank")
     train, dev = int(n * ratios[0]), int(n * ratios[1])
     place = F.col("__rank")
     name = F.when(place < train, "train").when(place < train + dev, "dev").otherwise("test")
     index = place - F.when(place < train, 0).when(place < train + dev, train).otherwise(train + dev)
-    return ranked.withColumns({"split": name, "split_index": index}).withColumn("img_name", F.concat("split", F.lit("_"), F.lpad(F.col("split_index").cast("string"), 4, "0"), F.lit(".png"))).drop("__h", "__rank")
-
-
-def _ranked(rows: DataFrame, order: list[str], ranges: int = 256) -> tuple[DataFrame, int]:
-    """Adds __rank from 0 over the whole table, ordered by the first column's ranges and then inside them."""
-    at = F.shiftright(F.col(order[0]), 56).cast("int")
-    cut = rows.withColumn("__range", at)
-    counts = sorted((r["__range"], r["n"]) for r in cut.groupBy("__range").agg(F.count("*").alias("n")).collect())
-    before, total = {}, 0
-    for k, n in counts:
-        before[k], total = total, total + n
-    offset = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))[F.col("__range")] if before else F.lit(0)
-    w = Window.partitionBy("__range").orderBy(*order)
-    return cut.withColumn("__rank", F.row_number().over(w) - 1 + offset).drop("__range"), total
+    return placed.withColumns({"split": name, "split_index": index}).withColumn("img_name", F.concat("split", F.lit("_"), F.lpad(F.col("split_index").cast("string"), 4, "0"), F.lit(".png"))).drop("__h", "__rank")
+
+
+#: Rows of a chunk that are numbered together, about.
+CHUNK_ROWS = 1 << 16
+
+
+def ranked(rows: DataFrame, chunk: dict[str, Column], order: list[str], name: str) -> DataFrame:
+    """Adds each row's rank from 0 over the whole table.
+
+    chunk: names and values, not null, that the order begins with or that go up with it.
+    Rows are counted by chunk, the counts summed up (one row a chunk), and rows numbered
+    inside each: no task holds more than a chunk's rows.
+    """
+    cut = rows.withColumns(chunk)
+    before = F.sum("__n").over(Window.orderBy(*chunk).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = cut.groupBy(*chunk).agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy(*chunk).orderBy(*order)) - 1
+    return cut.join(offsets, list(chunk)).withColumn(name, inside + F.col("__before")).drop("__before", *chunk)
 
 
 def manuscript_split(rows: DataFrame, *, order: str, gen_split: str = "gen_split", total: int | None = None) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,32 +113,29 @@ def reading_order(lines: DataFrame, *, vertical: bool = False, centre: bool = Fa
 
     Lines from top to bottom join the group whose running mean height is near, else begin a
     new one; in a group they go from left to right. centre: heights of box centres, not of
-    baselines. vertical: by x0, then y0. A page's lines are one task's rows, a page at a time.
+    baselines. vertical: by x0, then y0. A page's lines are one array, folded in the JVM;
+    nothing is joined back.
     """
     if vertical:
         w = Window.partitionBy("page_id").orderBy("x0", "y0", "det_ord")
         return lines.withColumn("reading_order", F.row_number().over(w) - 1)
     mid = (F.col("y0") + F.col("y1")) / F.lit(2.0)
     y = mid if centre or "baseline" not in lines.columns else baseline_y(F.col("baseline"), F.col("y0"), F.col("y1"))
-    slim = lines.select("page_id", "det_ord", "x0", (F.col("y1") - F.col("y0")).cast("double").alias("height"), y.cast("double").alias("y"))
-
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("det_ord", kind="stable").sort_values(["y", "x0"], kind="stable")
-        near = max(pdf.height.median() * Y_SHARE, Y_LEAST)
-        group, groups, mean, size = -1, [], 0.0, 0
-        for v in pdf.y.tolist():
-            if group < 0 or abs(v - mean) > near:
-                group, mean, size = group + 1, v, 1
-            else:
-                size += 1
-                mean = (mean * (size - 1) + v) / size
-            groups.append(group)
-        pdf = pdf.assign(g=groups).sort_values(["g", "x0"], kind="stable")
-        return pd.DataFrame({"page_id": pdf.page_id, "det_ord": pdf.det_ord, "reading_order": range(len(pdf))})
-
-    kinds = dict(slim.dtypes)
-    found = slim.groupBy("page_id").applyInPandas(order, f"page_id {kinds['page_id']}, det_ord {kinds['det_ord']}, reading_order int")
-    return lines.join(found, ["page_id", "det_ord"])
+    line = F.struct(y.cast("double").alias("y"), "x0", "det_ord", (F.col("y1") - F.col("y0")).cast("double").alias("height"), F.struct(*lines.columns).alias("line"))
+    pages = lines.groupBy("page_id").agg(F.array_sort(F.collect_list(line)).alias("rows"))
+    near = F.greatest(median(F.transform("rows", lambda r: r["height"])) * Y_SHARE, F.lit(Y_LEAST))
+    start = F.struct(near.alias("near"), F.lit(-1).alias("group"), F.lit(0.0).alias("mean"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("groups"))
+
+    def joined(a: Column, r: Column) -> Column:
+        new = (a["group"] < 0) | (F.abs(r["y"] - a["mean"]) > a["near"])
+        group = F.when(new, a["group"] + 1).otherwise(a["group"])
+        mean = F.when(new, r["y"]).otherwise((a["mean"] * a["size"] + r["y"]) / (a["size"] + 1))
+        return F.struct(a["near"].alias("near"), group.alias("group"), mean.alias("mean"), F.when(new, 1).otherwise(a["size"] + 1).alias("size"), F.concat(a["groups"], F.array(group)).alias("groups"))
+
+    grouped = pages.withColumn("groups", F.aggregate("rows", start, joined, lambda a: a["groups"]))
+    # by group, then from left to right; i keeps what is equal in place
+    placed = F.array_sort(F.transform(F.arrays_zip("rows", "groups"), lambda z, i: F.struct(z["groups"].alias("g"), z["rows"]["x0"].alias("x0"), i.alias("i"), z["rows"]["line"].alias("line"))))
+    return grouped.select(F.posexplode(placed).alias("reading_order", "r")).select("r.line.*", "reading_order")
 
 
 def region_ids(regions: DataFrame, *, shared: bool = False) -> DataFrame:

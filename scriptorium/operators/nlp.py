@@ -32,6 +32,10 @@ NEAR, NEAR_CONTEXT, PATTERN_CONTEXT = 80, 20, 30
 THEME_FLOOR, OPENING_BONUS, OPENING_LETTERS = 0.15, 2.0, 200
 
 
+#: Entities that are passed over together.
+NEIGHBOURS = 64
+
+
 class EntityRules:
     """(pattern, group, label, source, confidence, least length, stop words), tried in order, all matches kept."""
 
@@ -101,15 +105,23 @@ extract_entities = _udf(EntityRules, ENTITY)
 extract_relations = _udf(RelationRules, RELATION)
 
 
+def _heads(rows: Column) -> Column:
+    """Of rows sorted by their k, the first of each k."""
+    return text.once(F.array_sort(rows), lambda r: F.filter(r, lambda x, i: (i == 0) | (F.get(r, i - 1)["k"] != x["k"])))
+
+
 def dedup_entities(e: Column) -> Column:
     """Of equal text, label and start the most confident, of equal ones the first; by start, then by first appearance."""
     key = lambda x: F.struct(F.lower(text.strip(x["text"])).alias("t"), x["label"].alias("l"), x["start"].alias("s"))
-    keyed = F.transform(e, lambda x, i: F.struct(key(x).alias("k"), (-x["confidence"]).alias("c"), i.alias("i"), x.alias("x")))
-    # sorted by key, the best of each key comes first; the key's first appearance is the least i among its rows
-    ranked = F.array_sort(keyed)
-    best = F.filter(ranked, lambda r, i: (i == 0) | (F.get(ranked, i - 1)["k"] != r["k"]))
-    placed = F.transform(best, lambda r: F.struct(r["x"]["start"].alias("start"), F.array_min(F.transform(F.filter(keyed, lambda q: q["k"] == r["k"]), lambda q: q["i"])).alias("first"), r["x"].alias("x")))
-    return F.transform(F.array_sort(placed), lambda r: r["x"])
+
+    def merged(keyed: Column) -> Column:
+        best = _heads(F.transform(keyed, lambda r: F.struct(r["k"].alias("k"), (-r["x"]["confidence"]).alias("c"), r["i"].alias("i"), r["x"].alias("x"))))
+        first = _heads(F.transform(keyed, lambda r: F.struct(r["k"].alias("k"), r["i"].alias("i"))))
+        # both have one row a key, in the keys' order
+        placed = F.zip_with(best, first, lambda b, f: F.struct(b["x"]["start"].alias("start"), f["i"].alias("first"), b["x"].alias("x")))
+        return F.transform(F.array_sort(placed), lambda r: r["x"])
+
+    return text.once(F.transform(e, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))), merged)
 
 
 def dedup_entity_rows(entities: DataFrame, doc: str = "document_id") -> DataFrame:
@@ -124,8 +136,7 @@ def dedup_relations(r: Column) -> Column:
     """The first of equal subject, predicate and object; none with an empty end."""
     key = lambda x: F.struct(F.lower(text.strip(x["subject"])).alias("s"), x["predicate"].alias("p"), F.lower(text.strip(x["object"])).alias("o"))
     full = F.filter(r, lambda x: (x["subject"] != "") & (x["object"] != ""))
-    keyed = F.array_sort(F.transform(full, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
-    first = F.filter(keyed, lambda q, i: (i == 0) | (F.get(keyed, i - 1)["k"] != q["k"]))
+    first = _heads(F.transform(full, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
     return F.transform(F.array_sort(F.transform(first, lambda q: F.struct(q["i"].alias("i"), q["x"].alias("x")))), lambda q: q["x"])
 
 
@@ -135,19 +146,26 @@ def dedup_relation_rows(relations: DataFrame, doc: str = "document_id") -> DataF
 
 
 def proximity(s: Column, e: Column) -> Column:
-    """Relations between a person and each date, then each place, that begin near in the same text."""
+    """Relations between a person and each date, then each place, that begin near in the same text.
 
-    def pairs(label: str, predicate: str, confidence: float) -> Column:
+    e comes by start, as dedup_entities() leaves it; blocks of neighbours whose starts are
+    all too far are passed over as one.
+    """
+    count = lambda x: F.ceil(F.size(x) / F.lit(NEIGHBOURS)).cast("int")
+    cut = lambda x: F.transform(F.filter(F.sequence(F.lit(0), count(x)), lambda b: b < count(x)), lambda b: F.slice(x, b * NEIGHBOURS + 1, F.lit(NEIGHBOURS)))
+
+    def pairs(blocks: Column, label: str, predicate: str, confidence: float) -> Column:
         def one(p: Column, q: Column) -> Column:
             first = F.greatest(F.least(p["start"], q["start"]) - NEAR_CONTEXT, F.lit(0))
             last = F.least(F.greatest(p["end"], q["end"]) + NEAR_CONTEXT, F.length(s))
             around = text.strip(F.substring(s, first + 1, last - first))
             return F.struct(p["text"].alias("subject"), F.lit(predicate).alias("predicate"), q["text"].alias("object"), around.alias("sentence"), F.lit(confidence).alias("confidence"))
 
-        near = lambda p: F.filter(e, lambda q: (q["label"] == label) & (F.abs(p["start"] - q["start"]) < NEAR) & (p["text"] != q["text"]))
+        close = lambda p: F.flatten(F.filter(blocks, lambda b: (F.element_at(b, -1)["start"] > p["start"] - NEAR) & (F.element_at(b, 1)["start"] < p["start"] + NEAR)))
+        near = lambda p: F.filter(close(p), lambda q: (q["label"] == label) & (F.abs(p["start"] - q["start"]) < NEAR) & (p["text"] != q["text"]))
         return F.flatten(F.transform(F.filter(e, lambda p: p["label"] == "PER"), lambda p: F.transform(near(p), lambda q: one(p, q))))
 
-    return F.concat(pairs("DATE", "date_associée", 0.55), pairs("LOC", "associé_à_lieu", 0.50)).cast(RELATION)
+    return text.once(cut(e), lambda blocks: F.concat(pairs(blocks, "DATE", "date_associée", 0.55), pairs(blocks, "LOC", "associé_à_lieu", 0.50)).cast(RELATION))
 
 
 def proximity_rows(entities: DataFrame, *, doc: str = "document_id", person: str = "PER", others: tuple = ("DATE", "LOC"), near: int = NEAR) -> DataFrame:
@@ -163,31 +181,50 @@ def proximity_rows(entities: DataFrame, *, doc: str = "document_id", person: str
     return p.join(q, [doc, "bin"]).filter((F.abs(F.col("ps") - F.col("qs")) < near) & (F.col("subject") != F.col("object"))).select(doc, "p_ord", "q_ord", "subject", "object", "label")
 
 
+def _theme_counts(words: Column) -> Column:
+    """For each theme by its place, how many of its keywords are among the words (twice-named ones once)."""
+    return F.array(*(F.size(F.array_intersect(words, F.array(*(F.lit(k) for k in keys)))) for keys in lex.THEMES.values()))
+
+
 def theme_matches(x: Column) -> dict[str, Column]:
-    """For each theme, how many of its keywords a text's words have (twice-named ones once)."""
-    words = text.word_set(F.coalesce(x, F.lit("")))
-    return {theme: F.size(F.array_intersect(words, F.array(*(F.lit(k) for k in keys)))) for theme, keys in lex.THEMES.items()}
+    """For each theme, how many of its keywords a text's words have."""
+    found = text.once(text.word_set(F.coalesce(x, F.lit(""))), _theme_counts)
+    return {theme: F.get(found, F.lit(i)) for i, theme in enumerate(lex.THEMES)}
+
+
+def _opening_counts(x: Column) -> Column:
+    """For each theme by its place, how many of its formulas the first letters have."""
+    # lower-casing never makes a text shorter, so twice the letters have what counts, and none of them ends at the cut
+    head = F.substring(F.lower(F.substring(F.coalesce(x, F.lit("")), F.lit(1), F.lit(2 * OPENING_LETTERS))), F.lit(1), F.lit(OPENING_LETTERS))
+    count = lambda h, formulas: sum((F.contains(h, F.lit(f)).cast("int") for f in formulas), F.lit(0))
+    return text.once(head, lambda h: F.array(*(count(h, lex.OPENINGS.get(theme, [])) for theme in lex.THEMES)))
 
 
 def opening_matches(x: Column) -> dict[str, Column]:
-    head = F.substring(F.lower(F.coalesce(x, F.lit(""))), F.lit(1), F.lit(OPENING_LETTERS))
-    return {theme: sum((F.contains(head, F.lit(f)).cast("int") for f in formulas), F.lit(0)) for theme, formulas in lex.OPENINGS.items()}
+    found = _opening_counts(x)
+    return {theme: F.get(found, F.lit(i)) for i, theme in enumerate(lex.THEMES) if theme in lex.OPENINGS}
 
 
 def themes(x: Column) -> Column:
     """[(theme, score)], best first, in the themes' order where they tie: scores over the greatest, above the floor, to 3 places."""
-    found, opened = theme_matches(x), opening_matches(x)
-    raw = []
-    for i, (theme, keys) in enumerate(lex.THEMES.items()):
-        score = found[theme] / F.lit(max(len(keys) * 0.1, 1.0)) + opened.get(theme, F.lit(0)) * F.lit(OPENING_BONUS)
-        # a theme met by its opening alone comes after those met by keywords
-        late = F.when(found[theme] > 0, 0).otherwise(1)
-        raw.append(F.struct(F.lit(theme).alias("theme"), score.alias("score"), late.alias("late"), F.lit(i).alias("ord")))
-    every = F.filter(F.array(*raw), lambda r: r["score"] > 0)
-    top = F.array_max(F.transform(every, lambda r: r["score"]))
-    shares = F.transform(every, lambda r: F.struct((-F.least(r["score"] / top, F.lit(1.0))).alias("s"), r["late"].alias("late"), r["ord"].alias("ord"), r["theme"].alias("theme")))
-    kept = F.filter(F.array_sort(shares), lambda r: -r["s"] > THEME_FLOOR)
-    return F.transform(kept, lambda r: F.struct(r["theme"].alias("theme"), F.round(-r["s"], 3).alias("score")))
+    counts = F.struct(text.once(text.word_set(F.coalesce(x, F.lit(""))), _theme_counts).alias("found"), _opening_counts(x).alias("opened"))
+
+    def raw(n: Column) -> Column:
+        rows = []
+        for i, (theme, keys) in enumerate(lex.THEMES.items()):
+            found = F.get(n["found"], F.lit(i))
+            score = found / F.lit(max(len(keys) * 0.1, 1.0)) + F.get(n["opened"], F.lit(i)) * F.lit(OPENING_BONUS)
+            # a theme met by its opening alone comes after those met by keywords
+            rows.append(F.struct(F.lit(theme).alias("theme"), score.alias("score"), F.when(found > 0, 0).otherwise(1).alias("late"), F.lit(i).alias("ord")))
+        return F.filter(F.array(*rows), lambda r: r["score"] > 0)
+
+    def ranked(every: Column) -> Column:
+        share = lambda top: F.transform(every, lambda r: F.struct((-F.least(r["score"] / top, F.lit(1.0))).alias("s"), r["late"].alias("late"), r["ord"].alias("ord"), r["theme"].alias("theme")))
+        shares = text.once(F.array_max(F.transform(every, lambda r: r["score"])), share)
+        kept = F.filter(F.array_sort(shares), lambda r: -r["s"] > THEME_FLOOR)
+        return F.transform(kept, lambda r: F.struct(r["theme"].alias("theme"), F.round(-r["s"], 3).alias("score")))
+
+    return text.once(text.once(counts, raw), ranked)
 
 
 def analyse(docs: DataFrame, *, id_col: str = "document_id", text_col: str = "transcription", taggers: list | None = None, rules: bool = True, parser=None) -> DataFrame:

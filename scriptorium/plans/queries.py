@@ -66,8 +66,8 @@ _NLP = f"""select doc_id, latin, french, case when latin * 2 > french * 3 then '
 
 @query(_NLP)
 def language_nlp(spark, sf_dir):
-    latin, french = text.language_scores(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", latin.alias("latin"), french.alias("french"), text.language(F.col("text")).alias("language"))
+    scored = table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(text.language_counts(F.col("text")))))
+    return scored.withColumn("language", text.dominant(F.col("latin"), F.col("french")))
 
 
 _CORPUS = f"""select doc_id, case when f > l then 'old_french' when l > f then 'latin' else 'unknown' end as language from
@@ -82,8 +82,7 @@ def language_corpus(spark, sf_dir):
 @query(f"""select doc_id, f::int as french, l::int as latin, (f > l and f >= 2) as is_old_french from
 (select doc_id, {_count_substrings("t", lex.FRENCH_FILTER)} as f, {_count_substrings("t", lex.LATIN_FILTER)} as l from (select doc_id, lower(text) as t from documents))""")
 def old_french_filter(spark, sf_dir):
-    french, latin = text.old_french_scores(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", french.alias("french"), latin.alias("latin"), text.is_old_french(F.col("text")).alias("is_old_french"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(text.old_french(F.col("text")))))
 
 
 @query(f"select language, count(*)::bigint as n, round(count(*) * 100.0 / (select count(*) from documents), 4) as percent from ({_CORPUS}) group by language")
@@ -93,24 +92,36 @@ def language_distribution(spark, sf_dir):
 
 # --- error rates ------------------------------------------------------------------------
 
-_PAIRS = """(select a.conv_id, a.turn, left(regexp_replace(a.text, '[^ -~]', '', 'g'), 80) as truth, left(regexp_replace(b.text, '[^ -~]', '', 'g'), 80) as pred
-from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1)"""
-_LETTERS = "".join(chr(c) for c in range(33, 127) if chr(c) not in "'\\")
+_PAIRS = "(select a.conv_id, a.turn, a.text as truth, b.text as pred from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1)"
+# white space of text.WS, as RE2 writes it
+_SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
-    """Whole texts. The SQL beside it compares 80 ASCII characters at most, as DuckDB's levenshtein counts bytes: it is no oracle of longer texts."""
     c = table(spark, sf_dir, "conversations")
     b = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("pred"))
     return c.select("conv_id", "turn", F.col("text").alias("truth")).join(b, ["conv_id", "turn"])
 
 
-_CLEAN = f"""(select conv_id, turn, case when trim(truth) = '' then ' ' else trim(truth) end as t, case when trim(pred) = '' then ' ' else trim(pred) end as p from {_PAIRS})"""
-_TOKENS = f"""(select *, list_filter(string_split_regex(t, ' +'), lambda w: w <> '') as tw, list_filter(string_split_regex(p, ' +'), lambda w: w <> '') as pw from {_CLEAN})"""
-_SPELT = """array_to_string(list_transform({}, lambda w: substring({}, list_position(ws, w)::int, 1)), '')"""
-_METRICS = f"""(select conv_id, turn, t, p, case when len(tw) = 0 then (t <> p)::int else levenshtein(t, p) end::int as char_edits, case when len(tw) = 0 then 1 else length(t) end::int as char_len,
-case when len(tw) = 0 then (t <> p)::int else levenshtein({_SPELT.format("tw", _quoted(_LETTERS))}, {_SPELT.format("pw", _quoted(_LETTERS))}) end::int as word_edits, case when len(tw) = 0 then 1 else len(tw) end::int as word_len
-from (select *, list_distinct(list_concat(tw, pw)) as ws from {_TOKENS}))"""
+def _stripped(column: str) -> str:
+    return f"regexp_replace(coalesce({column}, ''), '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
+_STRIPPED = f"(select conv_id, turn, {_stripped('truth')} as st, {_stripped('pred')} as sp from {_PAIRS})"
+_CLEAN = f"(select *, case when st = '' then ' ' else st end as t, case when sp = '' then ' ' else sp end as p from {_STRIPPED})"
+_UNITS = f"""(select *, string_split(t, '') as tc, string_split(p, '') as pc, list_filter(string_split_regex(t, '{_SPACE}+'), lambda w: w <> '') as tw, list_filter(string_split_regex(p, '{_SPACE}+'), lambda w: w <> '') as pw from {_CLEAN})"""
+
+
+def _distance(a: str, b: str, common: str) -> str:
+    """Levenshtein of two lists. DuckDB's counts bytes, so each unit that both sides hold becomes an ASCII letter of
+    its own, and the others one letter for each side: they match nothing, whatever they are."""
+    spelt = lambda x, other: f"array_to_string(list_transform({x}, lambda w: chr(coalesce(nullif(list_position({common}, w), 0) + 2, {other})::int)), '')"
+    return f"levenshtein({spelt(a, 1)}, {spelt(b, 2)})"
+
+
+_METRICS = f"""(select conv_id, turn, st, sp, t, p, pc, case when len(tw) = 0 then (t <> p)::int else {_distance("tc", "pc", "cs")} end::int as char_edits, case when len(tw) = 0 then 1 else length(t) end::int as char_len,
+case when len(tw) = 0 then (t <> p)::int else {_distance("tw", "pw", "ws")} end::int as word_edits, case when len(tw) = 0 then 1 else len(tw) end::int as word_len, {_distance("pc", "tc", "cs")} as swapped
+from (select *, list_distinct(list_intersect(tc, pc)) as cs, list_distinct(list_intersect(tw, pw)) as ws from {_UNITS}))"""
 
 
 def _scored(spark, sf_dir) -> DataFrame:
@@ -143,7 +154,7 @@ def cer_buckets(spark, sf_dir):
     return metrics.bucket_counts(_scored(spark, sf_dir), "conv_id")
 
 
-@query(f"""with x as (select case when trim(p) = '' then 1.0 else levenshtein(trim(p), trim(t)) / length(trim(p)) end as cer from {_CLEAN}), s as (select min(cer) as lo, max(cer) as hi from x),
+@query(f"""with x as (select case when sp = '' then 1.0 when st = '' then 1.0 else swapped / length(sp) end as cer from {_METRICS}), s as (select min(cer) as lo, max(cer) as hi from x),
 b as (select case when hi > lo then least(floor((cer - lo) / ((hi - lo) / 20)), 19) else 0 end::int as bin, count(*)::bigint as n from x, s group by 1)
 select i::int as bin, coalesce(n, 0)::bigint as n from range(20) r(i) left join b on b.bin = r.i""")
 def cer_swapped_hist(spark, sf_dir):
@@ -358,6 +369,83 @@ def count_alert(spark, sf_dir):
     return o.join(n, "o_orderkey").select("o_orderkey", "found", "expected", text.count_alert(F.col("expected"), F.col("found")).alias("alert"))
 
 
+_POINTS = "[[x0, y0], [x1, y0], [x1, y1], [x0, y1]]"
+
+
+@query(f"""select page_id, det_ord, case det_ord % 4 when 0 then [[x0, y0], [x1, y0], [x0, y1]] when 1 then [[x0, y0], [x1, y1], [x0, y1]] when 2 then {_POINTS} else [[0, 0], [1000, 0], [1000, 1500], [0, 1500]] end::varchar as polygon,
+case when det_ord % 3 = 0 then '[]' else [[x0, y1], [x1, y1]]::varchar end as baseline, case when det_ord % 3 = 0 then (y0 + y1) / 2.0 else y1 end::double as y from {_BOX}""")
+def line_polygons(spark, sf_dir):
+    """The polygon of a line by what its segmenter gives: boundary, envelope, box or nothing; its baseline, and the height it stands at."""
+    b, k = _boxes(spark, sf_dir), F.col("det_ord") % 4
+    real = lambda *p: F.array(*(F.array(*(F.col(v).cast("double") + 0.25 for v in q)) for q in p))
+    boundary = F.when(k == 0, real(("x0", "y0"), ("x1", "y0"), ("x0", "y1"))).when(k == 1, real(("x0", "y0"), ("x1", "y0")))
+    envelope = F.when(k == 1, real(("x0", "y0"), ("x1", "y1"), ("x0", "y1")))
+    box = F.when(k == 2, F.array("x0", "y0", "x1", "y1"))
+    points = F.when(F.col("det_ord") % 3 > 0, real(("x0", "y1"), ("x1", "y1")))
+    shown = lambda p: F.concat(F.lit("["), F.array_join(F.transform(p, lambda q: F.concat(F.lit("["), F.array_join(q.cast("array<string>"), ", "), F.lit("]"))), ", "), F.lit("]"))
+    base = layout.baseline(points)
+    return b.select("page_id", "det_ord", shown(layout.polygon(boundary, envelope, box, F.col("img_w"), F.col("img_h"))).alias("polygon"), shown(base).alias("baseline"), layout.baseline_y(base, F.col("y0"), F.col("y1")).alias("y"))
+
+
+# tags as segmenters write them
+_TAGS = {0: '{"type": "Heading"}', 1: '{"type": [{"type": "marginalia"}]}', 2: '{"type": ["title"]}', 3: '"margin"', 4: "{}", 5: '{"other": 1}', 6: "text", 7: '{"type": []}'}
+_KIND = {0: "heading", 1: "marginalia", 2: "heading", 3: "marginalia", 4: "main_text", 5: "main_text", 6: "main_text", 7: "main_text"}
+
+
+@query("select l_orderkey, l_linenumber, case l_partkey % 8 " + " ".join(f"when {k} then '{v}'" for k, v in _KIND.items()) + " end as kind, case case l_partkey % 8 " + " ".join(f"when {k} then '{v}'" for k, v in _KIND.items()) + " end when 'main_text' then 'blue' when 'marginalia' then 'orange' else 'green' end as colour from lineitem")
+def tag_types(spark, sf_dir):
+    tags = F.element_at(F.array(*(F.lit(v) for v in _TAGS.values())), (F.col("l_partkey") % 8 + 1).cast("int"))
+    kind = layout.tag_type(layout.tag_of(tags))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", kind.alias("kind"), text.region_colour(kind).alias("colour"))
+
+
+@query(f"select page_id, det_ord, page_id || '_region_' || lpad((row_number() over (partition by page_id order by tag, det_ord) - 1)::varchar, 3, '0') as region_id, page_id || '_region_' || lpad((case tag when 'default' then 0 when 'heading' then 1 else 2 end)::varchar, 3, '0') as shared_id from {_PLACED}")
+def region_ids(spark, sf_dir):
+    kind = F.when(F.col("tag") == "default", 0).when(F.col("tag") == "heading", 1).otherwise(2)
+    r = _placed(spark, sf_dir).select("page_id", F.col("det_ord").alias("ord"), kind.alias("type_ord"))
+    own, shared = layout.region_ids(r), layout.region_ids(r, shared=True).withColumnRenamed("region_id", "shared_id")
+    return own.join(shared.select("page_id", "ord", "shared_id"), ["page_id", "ord"]).select("page_id", F.col("ord").alias("det_ord"), "region_id", "shared_id")
+
+
+@query(f"select distinct page_id, page_id || '_region_000' as region_id, 'text' as region_type, '1000x1500' as shape from {_BOX} where page_id not in (select page_id from {_BOX} where tag = 'heading')")
+def synthetic_regions(spark, sf_dir):
+    """A region over the whole page, for pages that have lines and no region (here: no heading)."""
+    b = _boxes(spark, sf_dir)
+    made = layout.synthetic_regions(b.select("page_id", "img_w", "img_h").distinct(), b.filter("tag = 'heading'"), b)
+    corner = F.col("polygon")[2]
+    return made.select("page_id", "region_id", "region_type", F.concat_ws("x", corner[0].cast("string"), corner[1].cast("string")).alias("shape"))
+
+
+@query("select conv_id, turn, trim(substring(text, greatest(turn * 7 - 30, 0) + 1, least(turn * 7 + 5 + 30, length(text)) - greatest(turn * 7 - 30, 0)), E' \t\n\r') as around from conversations")
+def context_windows(spark, sf_dir):
+    start = F.col("turn").cast("int") * 7
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.context(F.col("text"), start, start + 5).alias("around"))
+
+
+@query(f"""select conv_id, turn, round(case when c.cer > 0 and turn % 2 = 0 then {_CALIBRATE.format('c.cer')} else {_FALLBACK} end, 6)::double as confidence, case when c.cer < 0.1 then 'green' when c.cer < 0.3 then 'orange' else 'red' end as colour
+from (select *, (turn * 13 % 11) / 10.0 as cer from {_LINE}) c""")
+def chosen_confidence(spark, sf_dir):
+    """Calibrated where there is a truth and an error, else the fallback; and the colour of a title."""
+    cer = (F.col("turn") * 13 % 11) / 10.0
+    t = _turns(spark, sf_dir)
+    return t.select("conv_id", "turn", F.round(text.line_confidence(F.col("turn") % 2 == 0, cer, F.col("text"), F.col("base")), 6).alias("confidence"), text.title_colour(cer).alias("colour"))
+
+
+@query("select a.conv_id, a.turn, a.text as text, b.text as pred from conversations a join conversations b on a.conv_id = b.conv_id and a.turn = b.turn where a.turn % 2 = 0")
+def with_predictions(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").withColumn("img_name", F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    p = c.filter("turn % 2 = 0").select("img_name", F.col("text").alias("pred"))
+    return align.with_predictions(c, p).select("conv_id", "turn", "text", "pred")
+
+
+@query("select conv_id, turn, case when turn % 2 = 0 then 'a' || turn end as extracted_image from conversations")
+def extracted_images(spark, sf_dir):
+    """Of several images of a line the first."""
+    c = table(spark, sf_dir, "conversations").withColumn("line_id", F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    x = c.filter("turn % 2 = 0").select("line_id", F.explode(F.array(F.lit("b"), F.lit("a"))).alias("k"), "turn").select("line_id", F.concat("k", F.col("turn").cast("string")).alias("img_path"))
+    return align.with_extracted_images(c, x).select("conv_id", "turn", "extracted_image")
+
+
 # --- alignment --------------------------------------------------------------------------
 
 # one turn in three is known by its own id, by the prefixed id or not at all, as the conversation says
@@ -386,13 +474,23 @@ def gt_alignment(spark, sf_dir):
 
 _HITS = ", ".join(f"{_overlap('w', k)}::int as k{i}" for i, k in enumerate(lex.THEMES.values()))
 _OPEN = ", ".join(f"{_count_substrings('h', lex.OPENINGS[t]) if t in lex.OPENINGS else '0'}::int as o{i}" for i, t in enumerate(lex.THEMES))
-_RAW = f"(select doc_id, {_HITS}, {_OPEN} from (select doc_id, {WORDS} as w, substring(lower(text), 1, 200) as h from documents))"
+# the tables' texts are in other tongues: each gets a few words in front, by its number
+_WORDED = [" ".join([*lex.OPENINGS.get(t, [""])[:1], *(k for k in keys if " " not in k)][: 2 + i]) for t, keys in lex.THEMES.items() for i in range(0, 6, 2)] + [f"{f} {k}" for t, fs in lex.OPENINGS.items() for f, k in zip(fs, lex.THEMES["commerce"])] + [""]
+_CHARTERS = f"(select * replace ({_list(_WORDED)}[doc_id % {len(_WORDED)} + 1] || ' ' || coalesce(text, '') as text) from documents)"
+
+
+def _charters(spark, sf_dir) -> DataFrame:
+    words = F.array(*(F.lit(w) for w in _WORDED))
+    return table(spark, sf_dir, "documents").withColumn("text", F.concat_ws(" ", F.element_at(words, (F.col("doc_id") % len(_WORDED) + 1).cast("int")), F.coalesce("text", F.lit(""))))
+
+
+_RAW = f"(select doc_id, {_HITS}, {_OPEN} from (select doc_id, {WORDS} as w, substring(lower(text), 1, 200) as h from {_CHARTERS}))"
 _SCORES = " union all ".join(f"select doc_id, {i} as i, {_quoted(t)} as theme, k{i} / {max(len(k) * 0.1, 1.0)} + o{i} * 2.0 as score, (k{i} = 0) as late from {_RAW}" for i, (t, k) in enumerate(lex.THEMES.items()))
 _THEMES = f"""(select doc_id, theme, s, row_number() over (partition by doc_id order by s desc, late, i) as place from (select *, least(score / max(score) over (partition by doc_id), 1.0)::double as s from ({_SCORES}) where score > 0) where s > 0.15)"""
 
 
 def _themes(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = _charters(spark, sf_dir)
     return d.select("doc_id", F.posexplode(nlp.themes(F.col("text"))).alias("place", "t")).select("doc_id", (F.col("place") + 1).cast("bigint").alias("place"), "t.theme", "t.score")
 
 
@@ -409,7 +507,7 @@ def theme_distribution(spark, sf_dir):
 @query(f"select doc_id, o0 as juridique, o1 as religieux, o2 as administratif from {_RAW}")
 def opening_formulas(spark, sf_dir):
     o = nlp.opening_matches(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(t) for t, c in o.items()))
+    return _charters(spark, sf_dir).select("doc_id", *(c.alias(t) for t, c in o.items()))
 
 
 # --- entities and relations -------------------------------------------------------------
@@ -463,10 +561,12 @@ def proximity(spark, sf_dir):
     return nlp.proximity_rows(_events(spark, sf_dir), doc="user_id")
 
 
-@query(f"select user_id, ord, text, label from (select *, row_number() over (partition by user_id, lower(text), label, lower(label) order by ord) as n from {_EVENT}) where n = 1")
+@query(f"select user_id, ord, text, label, object from (select *, row_number() over (partition by user_id, lower(text), label, lower(object) order by ord) as n from (select *, case start % 5 when 0 then '' when 1 then ' Terra' when 2 then 'terra' when 3 then 'VILLA' else 'villa ' end as object from {_EVENT})) where n = 1 and object <> ''".replace("lower(object)", "lower(trim(object))"))
 def relation_dedup(spark, sf_dir):
-    r = _events(spark, sf_dir).select("user_id", "ord", F.col("text").alias("subject"), F.col("label").alias("predicate"), F.col("label").alias("object"))
-    return nlp.dedup_relation_rows(r, "user_id").select("user_id", "ord", F.col("subject").alias("text"), F.col("predicate").alias("label"))
+    k = F.col("start") % 5
+    thing = F.when(k == 0, "").when(k == 1, " Terra").when(k == 2, "terra").when(k == 3, "VILLA").otherwise("villa ")
+    r = _events(spark, sf_dir).select("user_id", "ord", F.col("text").alias("subject"), F.col("label").alias("predicate"), thing.alias("object"))
+    return nlp.dedup_relation_rows(r, "user_id").select("user_id", "ord", F.col("subject").alias("text"), F.col("predicate").alias("label"), "object")
 
 
 @query()
@@ -482,12 +582,27 @@ def split_counts(spark, sf_dir):
     return corpus.split_counts(corpus.split(table(spark, sf_dir, "documents"), key="doc_id", total=None)).select("split", "n")
 
 
-@query("""select doc_id, split from (select doc_id, case when doc_id % 10 < 8 then 'train' when doc_id % 10 = 8 then 'dev' else 'test' end as split, row_number() over (partition by case when doc_id % 10 < 8 then 'train' when doc_id % 10 = 8 then 'dev' else 'test' end order by doc_id) as i,
-(select count(*) filter (doc_id % 10 < 8) / count(*) filter (doc_id % 10 < 9) from documents) as share from documents) where (split = 'train' and i <= floor(100 * share)) or (split = 'dev' and i <= 100 - floor(100 * share))""")
+_SPLIT = "case when k < floor(n * 0.9::double) then 'train' when k < floor(n * 0.9::double) + floor(n * 0.05::double) then 'dev' else 'test' end"
+_DEALT = "(select doc_id, row_number() over (order by md5('42:' || doc_id), doc_id) - 1 as k, count(*) over () as n from documents)"
+
+
+@query(f"select doc_id, split, (row_number() over (partition by split order by k) - 1)::bigint as split_index, split || '_' || lpad((row_number() over (partition by split order by k) - 1)::varchar, greatest(4, length((row_number() over (partition by split order by k) - 1)::varchar))::int, '0') || '.png' as img_name from (select *, {_SPLIT} as split from {_DEALT})")
+def split_members(spark, sf_dir):
+    """Who is in which split, and the name that each gets there."""
+    return corpus.split(table(spark, sf_dir, "documents"), key="doc_id", total=None).select("doc_id", "split", F.col("split_index").cast("bigint").alias("split_index"), "img_name")
+
+
+@query("select doc_id, n_chars from documents order by md5('7:' || doc_id), doc_id limit 20")
+def random_rows(spark, sf_dir):
+    """Twenty rows by a hash of their key: a sample is the feature."""
+    return corpus.random_rows(table(spark, sf_dir, "documents"), 20, "doc_id", seed=7).select("doc_id", "n_chars")
+
+
+@query("select doc_id, case when doc_id % 10 < 8 then 'train' else 'dev' end as split from documents where doc_id % 10 < 9")
 def manuscript_split(spark, sf_dir):
     k = F.col("doc_id") % 10
     d = table(spark, sf_dir, "documents").select("doc_id", F.when(k < 8, "train").when(k == 8, "dev").otherwise("test").alias("split"))
-    return corpus.manuscript_split(d, order="doc_id", gen_split="split", total=100)
+    return corpus.manuscript_split(d, order="doc_id", gen_split="split")
 
 
 @query("select o_custkey, o_orderkey, o_totalprice as cer from (select *, row_number() over (partition by o_custkey order by o_totalprice, o_orderkey) as i from orders) where i = 1")
@@ -546,7 +661,7 @@ def _rasters(spark, sf_dir, width: int | None = None) -> DataFrame:
     return p.select("page_id", h.alias("height"), w.alias("width"), F.unhex(F.rpad(levels, 2 * h * w, "F")).alias("pixels"))
 
 
-@query("""select page_id::varchar as page_id, 20 as height, 30 as width, round(avg(v), 6) as mean, round(stddev_pop(v), 6) as std, min(v)::int as min, max(v)::int as max, 1.5::double as ratio from (select l_suppkey as page_id, l_partkey % 256 as v, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey % 256) as i, count(*) over (partition by l_suppkey) as n from lineitem) where n >= 600 and i <= 600 group by 1""")
+@query("""select l_suppkey::varchar as page_id, 1::int as height, count(*)::int as width, round(avg(l_partkey % 256), 6) as mean, round(stddev_pop(l_partkey % 256), 6) as std, min(l_partkey % 256)::int as min, max(l_partkey % 256)::int as max, count(*)::double as ratio from lineitem group by 1""")
 def image_statistics(spark, sf_dir):
     return image.statistics(_rasters(spark, sf_dir)).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
@@ -572,11 +687,11 @@ def review_rate_sliding(spark, sf_dir):
     return review.review_rate(e, slide="15 minutes").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "lines", "reviews")
 
 
-@query("""select user_id, min(ts) as session_start, count(*)::bigint as lines from (select *, sum(new) over (partition by user_id order by ts, event_id) as s from (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 30 minute then 0 else 1 end as new from events)) group by user_id, s""")
+@query("""select user_id, min(ts) as session_start, count(*)::bigint as lines, count(*) filter (value < 0.8)::bigint as reviews from (select *, sum(new) over (partition by user_id order by ts, event_id) as s from (select *, case when ts - lag(ts) over (partition by user_id order by ts, event_id) < interval 30 minute then 0 else 1 end as new from events)) group by user_id, s""")
 def user_sessions(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = e.groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("lines"))
-    return out.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "lines")
+    e = table(spark, sf_dir, "events").withColumn("needs_review", F.col("value") < 0.8)
+    out = review.review_rate(e, gap="30 minutes", by=("user_id",))
+    return out.select("user_id", F.col("window_start").cast("timestamp_ntz").alias("session_start"), "lines", "reviews")
 
 
 # --- flagship ---------------------------------------------------------------------------
@@ -584,10 +699,8 @@ def user_sessions(spark, sf_dir):
 _FIRST = f"(select doc_id, theme from {_THEMES} where place = 1)"
 
 
-@query(f"select d.lang, n.language, coalesce(t.theme, 'none') as theme, count(*)::bigint as docs, sum(d.n_chars)::bigint as chars from documents d join ({_NLP}) n using (doc_id) left join {_FIRST} t using (doc_id) group by 1, 2, 3")
+@query(f"select d.lang, n.language, coalesce(t.theme, 'none') as theme, count(*)::bigint as docs, sum(d.n_chars)::bigint as chars from documents d join ({_NLP.replace('from documents', 'from ' + _CHARTERS)}) n using (doc_id) left join {_FIRST} t using (doc_id) group by 1, 2, 3")
 def language_and_theme(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = _charters(spark, sf_dir)
     theme = F.coalesce(F.get(nlp.themes(F.col("text")), F.lit(0))["theme"], F.lit("none"))
     return d.select("lang", text.language(F.col("text")).alias("language"), theme.alias("theme"), "n_chars").groupBy("lang", "language", "theme").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"))
-
-

@@ -132,11 +132,14 @@ _LINE = (
 CONTRACT = f"document_id string, system_coordinates string, image_path string, lines array<struct<{_LINE}>>"
 
 
-def contracts(spark: SparkSession, paths: str | list[str], *, strict: bool = True) -> DataFrame:
-    """One row a contract line: (document_id, contract_ord, line_ord, ...), checked as on writing."""
+def contracts(spark: SparkSession, paths: str | list[str], *, strict: bool = True, multi_line: bool = True) -> DataFrame:
+    """One row a contract line: (document_id, contract_ord, line_ord, ...), checked as on writing.
+
+    multi_line: a file is one contract; else each line of a file is one, as write_contracts() makes them.
+    """
     from ..operators import contract
 
-    rows = spark.read.schema(CONTRACT).json(paths, multiLine=True).withColumn("file", F.col("_metadata.file_path"))
+    rows = spark.read.schema(CONTRACT).json(paths, multiLine=multi_line).withColumn("file", F.col("_metadata.file_path"))
     listed = [paths] if isinstance(paths, str) else list(paths)
     order = F.coalesce(*(F.when(F.endswith("file", F.lit(p.split(":", 1)[-1].lstrip("/"))), i) for i, p in enumerate(listed)), F.lit(0))
     lines = rows.withColumn("contract_ord", order).select("document_id", "contract_ord", F.posexplode("lines").alias("line_ord", "line")).select("document_id", "contract_ord", "line_ord", "line.*")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -205,8 +205,11 @@ def training_history(history: DataFrame) -> DataFrame:
 
 
 def error_curve(scored: DataFrame, column: str = "cer") -> DataFrame:
-    """(place, value): values in ascending order, for a curve; a report of one evaluation's lines."""
-    return scored.select(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(column)).alias("place"), F.col(column).alias("value"))
+    """(place, value): values in ascending order, for a curve; places begin with 1. Values are numbered by steps of a hundredth."""
+    from ..operators import corpus
+
+    values = scored.select(F.col(column).alias("value")).filter("value is not null")
+    return corpus.ranked(values, {"__step": F.floor(F.col("value") * 100)}, ["value"], "place").select((F.col("place") + 1).alias("place"), "value")
 
 
 def training_curves(history: DataFrame) -> DataFrame:
