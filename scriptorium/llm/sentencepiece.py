@@ -66,6 +66,12 @@ class Model:
         self.unknown = next(i for i, (_, _, t) in enumerate(pieces) if t == 2)
         self.pieces = {p: i for i, (p, _, t) in enumerate(pieces) if t in (1, 4)}
         self.longest = max(map(len, self.pieces))
+        if self.longest > 255:
+            raise ValueError("pieces of more than 255 characters are not supported")
+        # pieces of two characters at least by their rank, shifted; what only begins a piece is -1
+        rank = {cost: k << 40 for k, cost in enumerate(sorted({-self.score[i] for i in self.pieces.values()}))}
+        self.edge = {p[:k]: -1 for p in self.pieces for k in range(2, len(p))}
+        self.edge |= {p: rank[-self.score[i]] for p, i in self.pieces.items() if len(p) > 1}
         at = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == 6}
         self.byte = [at[b] for b in range(256)] if fallback else None
         self.spell = [p.replace(SPACE, " ").encode() if t in (1, 4) else bytes([int(p[3:5], 16)]) if t == 6 else b"" if t == 3 else b" \xe2\x81\x87 " for p, _, t in pieces]
@@ -88,28 +94,34 @@ class Model:
         """One word at a time, of any length: what the lattice's fold gives."""
         return self._merged(word) if self.kind == BPE else self._viterbi(word)
 
-    def _edges(self, word: str) -> list[tuple[float, int, int, int]]:
-        """The lattice of one word: (cost, end, length, id) of its substrings that are pieces."""
-        get, score, n = self.pieces.get, self.score, len(word)
-        return [(-score[i], b, b - a, i) for a in range(n) for b in range(a + 1, min(n, a + self.longest) + 1) if (i := get(word[a:b])) is not None]
-
     def _merged(self, word: str) -> list[int]:
-        """The fold by rank, with a list of borders in place of bits, so of any length."""
-        n = len(word)
-        after, known = list(range(1, n + 2)), {}
-        for _, b, length, i in sorted(self._edges(word)):
-            a = b - length
+        """One word's lattice and the fold by rank over it, with a list of borders in place of bits, so of any length."""
+        get, n, longest = self.edge.get, len(word), self.longest
+        edges = []  # (rank, end, length), packed
+        for a in range(n - 1):
+            for b in range(a + 2, min(n, a + longest) + 1):
+                k = get(word[a:b])
+                if k is None:
+                    break
+                if k >= 0:
+                    edges.append(k | b << 8 | b - a)
+        edges.sort()
+        after = list(range(1, n + 2))
+        for k in edges:
+            b = k >> 8 & 0xFFFFFFFF
+            a = b - (k & 0xFF)
             middle = after[a]
-            if length == 1:
-                known[a, b] = i
-            elif middle is not None and middle < b and after[middle] == b:
-                after[a], after[middle] = b, None
-                known[a, b] = i
-        out, a = [], 0
+            if middle and middle < b and after[middle] == b:
+                after[a], after[middle] = b, 0
+        out, a, get = [], 0, self.pieces.get
         while a < n:
-            i = known.get((a, after[a]))
-            out += [i] if i is not None else self.unknown_ids(word[a])
-            a = after[a]
+            b = after[a]
+            i = get(word[a:b])
+            if i is None:
+                out += self.unknown_ids(word[a])
+            else:
+                out.append(i)
+            a = b
         return out
 
     def _viterbi(self, word: str) -> list[int]:
