@@ -529,15 +529,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """One document of each group of near-duplicates, all columns kept: that of the smallest id.
 
-    Rows that repeat both id and text are one document.
+    Rows that repeat both id and text are one document; rows without an id all stay.
     """
     text_col = options.get("text_col", "text")
     found = materialise(near_duplicates(docs, id_col=id_col, **options), "components")
     left = without_ids(docs, found.filter("component <> id").select("id"), id_col)
-    again = materialise(found.groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id"), "repeated")
+    again = materialise(found.filter("id is not null").groupBy("id").agg(F.count("*").alias("c")).filter("c > 1").select("id"), "repeated")
     if again.isEmpty():
         return left
     # only rows whose id is repeated have to meet
-    repeated = left.join(F.broadcast(again) if few(again) else again, F.col(id_col).eqNullSafe(F.col("id")), "left_semi")
+    repeated = left.join((F.broadcast(again) if few(again) else again).withColumnRenamed("id", "__again"), F.col(id_col) == F.col("__again"), "left_semi")
     once = repeated.withColumn("__text", F.xxhash64(text_col)).dropDuplicates([id_col, "__text"]).select(*docs.columns)
     return without_ids(left, again, id_col).unionByName(once)

@@ -187,5 +187,5 @@ def sanitised(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, all columns and rows kept, with their text sanitised."""
     found = sensitive_spans(docs, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.array_sort(F.concat("base", "terms")).alias("__spans")).filter("size(__spans) > 0").dropDuplicates(["__id", "__h"])
-    rows = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(found, (F.col(id_col) == F.col("__id")) & (F.col("__hash") == F.col("__h")), "left")
+    rows = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left")
     return rows.withColumn(text_col, F.when(F.col("__spans").isNotNull(), sanitised(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col))).select(*docs.columns)
