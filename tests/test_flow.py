@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptorium import stages
 from scriptorium.operators import image
-from scriptorium.plans import file_queries, pipeline, queries  # noqa: F401
+from scriptorium.plans import file_queries, pipeline, queries, rule_queries  # noqa: F401
 from scriptorium.sources import readers, writers
 from scriptorium.streaming import review
 
