@@ -7,7 +7,9 @@ add is at most the product of the suffix norms, so a pair that cannot reach the
 is dropped there. Survivors are confirmed by the cosine of the original vectors in double
 precision. Equal vectors are compared once.
 
-A pair of blocks yields no pairs: only how many links each vector has, and a spanning
+Each block goes to the cells of all blocks that it can meet: as many copies of a vector as
+there are blocks. Blocks are as large as memory allows, but at least so many that their cells
+keep the cluster busy. A cell yields no pairs: only how many links each vector has, and a spanning
 forest of the links, at most one row a vector.
 """
 
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import Shared, connected_components, materialise
 
-#: Vectors in a block, in a tile's side, and in the sample that axes and cuts are fitted on.
-BLOCK, TILE, SAMPLE = 4096, 512, 8192
+#: Bytes of vectors in a block, and vectors in a tile's side, and in the sample that axes and cuts are fitted on.
+BLOCK_BYTES, TILE, SAMPLE = 16 << 20, 512, 8192
 #: Leading dimensions of the stages.
 STAGES = (8, 24)
 #: Room for rounding in the bounds; confirmation is exact.
@@ -96,8 +98,8 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, label[at]
 
 
-def similar(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, block: int = BLOCK) -> DataFrame:
-    """(id, n_links, component) of each vector row.
+def similar(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9, block: int | None = None) -> DataFrame:
+    """(id, n_links, component) of each vector row; block is how many vectors a block holds, if it is not to follow from their size.
 
     A vector that is null, empty, zero or holds null or non-finite components has no link;
     vectors of different lengths have none. Rows with equal vectors are linked with each
@@ -121,13 +123,17 @@ def similar(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embed
     component = connected_components(classes.select(F.col("rep").alias("id")), found.filter("b is not null").select("a", "b"))
     per_class = classes.join(degree, "rep", "left").join(component.withColumnRenamed("id", "rep"), "rep")
     per_class = per_class.select("vec", "component", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    return rows.join(per_class, "vec", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component", "id").alias("component"))
+    found = rows.filter("vec is not null").join(per_class, "vec").select("id", F.col("n_links").cast("bigint").alias("n_links"), F.coalesce("component", "id").alias("component"))
+    # vectors that link with nothing do not meet in a join
+    return found.unionByName(rows.filter("vec is null").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component")))
 
 
-def _compared(classes: DataFrame, threshold: float, block: int) -> DataFrame:
+def _compared(classes: DataFrame, threshold: float, block: int | None) -> DataFrame:
     """(a, b, links): links > 0 counts links of a; b is not null where an edge joins a with b."""
     spark = classes.sparkSession
-    n = classes.count()
+    n, dim = classes.select(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    busy = int(np.ceil(np.sqrt(4 * spark.sparkContext.defaultParallelism)))
+    block = block or max(TILE, min(BLOCK_BYTES // (8 * max(1, dim)), -(-n // busy)))
     blocks = max(1, -(-n // block))
     sample = np.array([r.vec for r in classes.select("rep", "vec").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()])
     axes = Shared(spark, Axes(sample, blocks))
@@ -149,19 +155,23 @@ def _compared(classes: DataFrame, threshold: float, block: int) -> DataFrame:
     deal = spark.createDataFrame([(k, a, s) for k, (a, s) in first.items()], "bucket bigint, base bigint, splits bigint")
     with_block = placed.join(F.broadcast(deal), "bucket").withColumn("block", F.col("base") + F.pmod(F.xxhash64("rep", F.lit(5)), F.col("splits")))
 
-    # unit vectors that far apart along one axis cannot be so close
+    # unit vectors that far apart along one axis cannot be so close; blocks come by their least value
     apart = np.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
-    pairs = [(i, j) for i, (_, _, hi) in enumerate(names) for j in range(i, len(names)) if names[j][1] - hi <= apart]
-    whom = spark.createDataFrame([(k, p, side) for p, (i, j) in enumerate(pairs) for k, side in {(i, 0), (j, 1)}], "block bigint, pair bigint, side int")
-    dealt = with_block.select("block", "rep", "weight", "body").join(F.broadcast(whom), "block")
+    low, high = np.array([lo for _, lo, _ in names]), np.array([hi for _, _, hi in names])
+    last = np.searchsorted(low, high + apart, "right") - 1
+    first = np.searchsorted(np.maximum.accumulate(high), low - apart, "left")
+    reach = spark.createDataFrame([(k, int(a), int(b)) for k, (a, b) in enumerate(zip(first, last, strict=True))], "block bigint, first bigint, last bigint")
+    other = F.explode(F.sequence("first", "last")).alias("other")
+    cell = (F.least("block", "other") * len(names) + F.greatest("block", "other")).alias("cell")
+    dealt = with_block.join(F.broadcast(reach), "block").select("block", "rep", "weight", "body", other).select("rep", "weight", "body", cell, (F.col("block") == F.col("other")).alias("same"), (F.col("block") > F.col("other")).cast("int").alias("side"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[pdf.side == 0], pdf[pdf.side == 1]
+        same = bool(pdf.same.iloc[0])
+        x, y = (pdf, pdf) if same else (pdf[pdf.side == 0], pdf[pdf.side == 1])
         matrix = lambda p: np.frombuffer(b"".join(p.body), np.float64).reshape(len(p), -1)
         none = pd.DataFrame({"a": [], "b": [], "links": []}).astype({"a": "int64", "b": "Int64", "links": "int64"})
         if not len(x) or not len(y):
             return none
-        same = x.block.iloc[0] == y.block.iloc[0]
         a, b = linked(matrix(x), matrix(y), axes.value, threshold)
         rx, ry, wx, wy = (p.to_numpy() for p in (x.rep, y.rep, x.weight, y.weight))
         if same:
@@ -177,5 +187,5 @@ def _compared(classes: DataFrame, threshold: float, block: int) -> DataFrame:
         out = pd.DataFrame({"a": np.concatenate([ids, nodes[ea]]), "b": pd.array([None] * len(ids) + nodes[eb].tolist(), "Int64"), "links": np.concatenate([count, np.zeros(len(ea), np.int64)])})
         return out[(out.links > 0) | out.b.notna()]
 
-    partitions = min(max(1, len(pairs)), 20_000)
-    return dealt.repartition(partitions, "pair").groupBy("pair").applyInPandas(compare, "a bigint, b bigint, links bigint")
+    partitions = min(len(names) * (len(names) + 1) // 2, 20_000)
+    return dealt.repartition(max(1, partitions), "cell").groupBy("cell").applyInPandas(compare, "a bigint, b bigint, links bigint")
