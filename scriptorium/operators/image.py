@@ -23,6 +23,9 @@ CLIP, TILES = 2.0, 8
 DOUBLE, CUT_MARGIN = 1.2, 20
 NOISE_AREA = 40 * 10
 LEAST_ANGLE, PIPELINE_ANGLE, MOST_ANGLE = 0.1, 0.5, 10.0
+VOTES, LINE_LENGTH, LINE_GAP = 100, 100, 20
+#: Degrees between the angles that are tried.
+ANGLE_STEP = 0.25
 #: Weights of red, green and blue.
 LUMA = (0.299, 0.587, 0.114)
 
@@ -174,6 +177,46 @@ def remove_noise(image: np.ndarray, area: int = NOISE_AREA) -> np.ndarray:
     return out
 
 
+def edges(image: np.ndarray) -> np.ndarray:
+    """Where ink, as Otsu's threshold parts it, meets paper above, below, left or right."""
+    ink = np.pad(image <= otsu_threshold(image), 1, mode="edge")
+    inner = ink[1:-1, 1:-1]
+    return inner & ~(ink[:-2, 1:-1] & ink[2:, 1:-1] & ink[1:-1, :-2] & ink[1:-1, 2:])
+
+
+def line_angles(image: np.ndarray, most: float = MOST_ANGLE) -> np.ndarray:
+    """Angles in degrees of the straight edges that are nearly level.
+
+    Each edge pixel votes, for each angle, for its distance from the origin; a line is a
+    peak of votes whose pixels run on for long enough without a large gap.
+    """
+    y, x = np.nonzero(edges(image))
+    if len(x) < VOTES:
+        return np.empty(0)
+    angles = np.arange(-most, most + ANGLE_STEP / 2, ANGLE_STEP)
+    reach = int(np.hypot(*image.shape)) + 1
+    votes = np.zeros((len(angles), 2 * reach + 1), np.int32)
+    for k, a in enumerate(np.radians(angles)):
+        votes[k] = np.bincount(np.rint(y * np.cos(a) - x * np.sin(a)).astype(np.int64) + reach, minlength=2 * reach + 1)
+    around = np.pad(votes, ((1, 1), (2, 2)))
+    top = np.max([around[i : i + votes.shape[0], j : j + votes.shape[1]] for i in range(3) for j in range(5)], axis=0)
+    least = max(image.shape[1] // 4, LINE_LENGTH)
+    found = []
+    for k, r in zip(*np.nonzero((votes >= VOTES) & (votes == top)), strict=True):
+        a = np.radians(angles[k])
+        on = np.abs(y * np.cos(a) - x * np.sin(a) + reach - r) <= 0.5
+        at = np.sort(x[on] * np.cos(a) + y[on] * np.sin(a))
+        runs = np.split(at, np.flatnonzero(np.diff(at) > LINE_GAP) + 1)
+        if max(part[-1] - part[0] for part in runs) >= least:
+            found.append(angles[k])
+    return np.array(found)
+
+
+def detect_skew(image: np.ndarray, most: float = MOST_ANGLE) -> float:
+    """By how many degrees a page's lines are turned; 0 where no line is found."""
+    return median_skew(line_angles(grey(image), most), most)
+
+
 def median_skew(angles: np.ndarray, most: float = MOST_ANGLE) -> float:
     """The median of the nearly level angles, 0 where there is none."""
     level = angles[(angles > -most) & (angles < most)]
@@ -192,9 +235,10 @@ def deskew(image: np.ndarray, angle: float) -> np.ndarray:
     return _sampled(image, s * x + c * y + cy, c * x - s * y + cx)
 
 
-def prepare(image: np.ndarray, *, angle: float = 0.0, contrast: bool = True, binarise: bool = False, crop: bool = True, target: int | None = None) -> np.ndarray:
-    """Deskew, contrast, binarise (off unless asked for), crop, resize: in this order."""
+def prepare(image: np.ndarray, *, angle: float | None = None, contrast: bool = True, binarise: bool = False, crop: bool = True, target: int | None = None) -> np.ndarray:
+    """Deskew (by the angle that is found, if none is given), contrast, binarise (off unless asked for), crop, resize: in this order."""
     out = grey(image)
+    angle = detect_skew(out) if angle is None else angle
     if abs(angle) > PIPELINE_ANGLE:
         out = deskew(out, angle)
     if contrast:

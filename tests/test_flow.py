@@ -55,6 +55,35 @@ def test_geometry_of_pages():
     assert image.grey(np.dstack([flat, flat, flat])).tolist() == flat.tolist()
 
 
+@pytest.mark.parametrize("angle", [-4.0, 0.0, 2.5])
+def test_skew_is_found_and_undone(angle):
+    turned = image.deskew(page(500, 900), -angle) if angle else page(500, 900)
+    found = image.detect_skew(turned)
+    assert abs(found - angle) <= 0.5 or abs(found + angle) <= 0.5
+    assert abs(image.detect_skew(image.deskew(turned, found))) <= 0.5
+    assert image.detect_skew(np.full((300, 300), 255, np.uint8)) == 0.0
+
+
+def test_commands(spark, tmp_path):
+    from scriptorium import __main__ as cli
+
+    (tmp_path / "predictions.txt").write_text("a.png\tAnno domini MCC\nb.png\tin villa de Parisius\n", encoding="utf-8")
+    (tmp_path / "test.txt").write_text("a.png\tAnno domini MCCX\nb.png\tin villa de Parisius\n", encoding="utf-8")
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "p1.png").write_bytes(image.png(page()))
+    cli.main(["analyse", "-i", str(tmp_path / "predictions.txt"), "-o", str(tmp_path / "a")])
+    assert json.loads(spark.read.json(str(tmp_path / "a" / "corpus_report")).toJSON().first())["corpus_stats"]["total_documents"] == 2
+    cli.main(["evaluate", "-p", str(tmp_path / "predictions.txt"), "-l", str(tmp_path / "test.txt"), "-o", str(tmp_path / "e")])
+    assert spark.read.json(str(tmp_path / "e" / "report")).first().num_samples == 2
+    spark.createDataFrame([(i, f"line {i}") for i in range(20)], "id bigint, text string").write.parquet(str(tmp_path / "corpus"))
+    cli.main(["split", "-i", str(tmp_path / "corpus"), "-o", str(tmp_path / "s")])
+    assert spark.read.text(str(tmp_path / "s")).count() == 20
+    cli.main(["page", "-i", str(tmp_path / "in"), "-o", str(tmp_path / "p"), "--skip-preprocessing", "--skip-nlp"])
+    assert readers.contracts(spark, str(tmp_path / "p" / "contracts")).count() > 0
+    with pytest.raises(SystemExit):
+        cli.main(["analyse"])
+
+
 def test_noise_goes():
     x = np.zeros((60, 60), np.uint8)
     x[5:30, 5:30], x[40:45, 40:45] = 255, 255
