@@ -102,6 +102,23 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+def pieces_of(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts (or bytes) in a column come to about `size` bytes, a longer one by itself."""
+    if not batch.num_rows:
+        return
+    at = np.frombuffer(batch.column(column).buffers()[1], np.int32)[batch.column(column).offset :][: batch.num_rows + 1]
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(at, at[begin] + size, "right")) - 1)
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """Dealt out by columns over as many partitions as the session shuffles to, however few bytes they are: for work that grows out of them."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
     """Of (word, n) the rows above the least frequency that no more than `limit` rows reach: a filter, not a sort that tasks hold in memory."""
     step = F.floor(F.log2("n") * COUNT_STEPS)

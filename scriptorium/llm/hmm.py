@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lexicon, Shared, count_words, materialise, most_frequent, text_bytes, unsigned
+from .common import Lexicon, Shared, count_words, materialise, most_frequent, pieces_of, text_bytes, unsigned
 
 #: The token that ends each text; no word holds a blank.
 END = b" "
@@ -196,8 +196,7 @@ def encoded(bodies: DataFrame, held, complete: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc: Vocabulary = held.value
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for part in pieces_of(batch, 1):
                 words: list[bytes] = []
                 sizes = []
                 for body in part.column(1).to_pylist():

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, few, materialise, text_bytes, without_ids
+from .common import connected_components, discard, few, materialise, spread, text_bytes, without_ids
 
 #: Values in a sketch, and how many of them similar sets share at least: 64 draws at a
 #: similarity of 0.8 come below 36 with a probability of 2e-6, at 0.85 of 1e-10.
@@ -350,7 +350,7 @@ def likely_members(cells: DataFrame, k: int, need: int, percent: int) -> DataFra
             if hit.any():
                 yield pa.record_batch([pa.array(rows.columns["value"][hit]), pa.array(rows.columns["id"][hit])], ["value", "id"])
 
-    return cells.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(run, "value bigint, id bigint")
+    return spread(cells, "cell").sortWithinPartitions("cell", "side").mapInArrow(run, "value bigint, id bigint")
 
 
 def full_sets(bodies: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -474,7 +474,7 @@ def links(bodies: DataFrame, cells: DataFrame, digests: DataFrame, words: int, p
         if ends:
             yield found()
 
-    sets = full_sets(bodies, wanted, words).repartition("cell").sortWithinPartitions("cell", "side")
+    sets = spread(full_sets(bodies, wanted, words), "cell").sortWithinPartitions("cell", "side")
     found_links = materialise(sets.mapInArrow(run, "a bigint, b bigint"), "links")
     discard(wanted)
     return found_links

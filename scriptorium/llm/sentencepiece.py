@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Lexicon, Shared, count_words, materialise, most_frequent, small_batches, unsigned
+from .common import Lexicon, Shared, count_words, materialise, most_frequent, pieces_of, small_batches, spread, unsigned
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -214,7 +214,7 @@ def segmented(folded: DataFrame, model: Model) -> DataFrame:
 
 def encode_words(words: DataFrame, model: Model) -> DataFrame:
     """(word, ids) of distinct words of at most LATTICE_LETTERS code points, by the lattice."""
-    own = words.select("word").repartition("word")
+    own = spread(words.select("word"), "word")
     low = min(model.score) - UNKNOWN_PENALTY
     edges = own.join(lattice(own, model), "word", "left").select("word", F.coalesce("edges", F.array().cast(EDGES)).alias("edges"))
     fold = merge_fold(F.col("edges"), F.length("word")) if model.kind == BPE else viterbi_fold(F.col("edges"), F.length("word"), low)
@@ -257,8 +257,7 @@ def encode(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
         find, offsets, values, split = table.lexicon.find, table.offsets, table.values, own.split
         memo: dict[str, list[int]] = {}
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for part in pieces_of(batch, 1):
                 words, sizes = [], []
                 for t in part.column(1).to_pylist():
                     w = split(t) if t else []

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lexicon, Shared, count_words, materialise, most_frequent, small_batches, unsigned
+from .common import Lexicon, Shared, count_words, materialise, most_frequent, pieces_of, small_batches, unsigned
 from .sentencepiece import BPE, FREQUENT_WORDS, UNKNOWN_PENALTY, Model, _splitter
 
 #: Words in the workers' table.
@@ -123,8 +123,7 @@ def token_counts(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_
         lexicon, values = held.value
         values = np.append(values, 0)  # row -1
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for part in pieces_of(batch, 1):
                 words, sizes = [], []
                 for t in part.column(1).to_pylist():
                     w = split(t) if t else []

@@ -36,6 +36,18 @@ def test_components_follow_chains_and_keep_singles(spark):
     assert [tuple(r) for r in none.collect()] == [(3, 3)]
 
 
+def test_slices_by_bytes_hold_every_row_once():
+    import pyarrow as pa
+
+    texts = ["a" * 5, None, "", "b" * 50, "cd", "e" * 9, "f"]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["id", "body"])
+    for part in (batch, batch.slice(2, 4), batch.slice(0, 0)):
+        for size in (1, 10, 1000):
+            got = [x.to_pydict() for x in common.pieces_of(part, 1, size)]
+            assert [i for x in got for i in x["id"]] == part.column(0).to_pylist()
+            assert all(sum(len(t or "") for t in x["body"]) <= size or sum(bool(t) for t in x["body"]) == 1 for x in got)
+
+
 # --- 1, 2: pieces -----------------------------------------------------------------------
 
 ALPHABET = [*" ▁aeinrst.,_²\n\t!0123日é🙂ж<>&", "  ", "the", "ing", "tion"]
