@@ -28,6 +28,8 @@ KINDS = {
 }
 SPAN = "array<struct<start:int,ord:int,end:int,kind:string,value:string>>"
 
+#: Documents with spans, and spans of all of them, that are broadcast at most.
+BROADCAST_ROWS, BROADCAST_SPANS = 200_000, 1_000_000
 #: Elements of an array that grow by appending, before the next block begins.
 STEPS = 256
 #: A term is a whole run of letters, of any length.
@@ -185,7 +187,15 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents, all columns and rows kept, with their text sanitised."""
-    found = sensitive_spans(docs, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.array_sort(F.concat("base", "terms")).alias("__spans")).filter("size(__spans) > 0").dropDuplicates(["__id", "__h"])
-    rows = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left")
-    return rows.withColumn(text_col, F.when(F.col("__spans").isNotNull(), sanitised(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col))).select(*docs.columns)
+    """The documents, all columns and rows kept, with their text sanitised.
+
+    Where spans are few, they go to the documents; else both are shuffled.
+    """
+    plain = F.transform(F.array_sort(F.concat("base", "terms")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    rows = sensitive_spans(docs, id_col=id_col, text_col=text_col, **options).select(F.col("id").alias("__id"), F.col("h").alias("__h"), plain.alias("__spans"))
+    found = materialise(rows.filter("size(__spans) > 0").dropDuplicates(["__id", "__h"]), "spans")
+    total = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("__spans")), F.lit(0)).alias("spans")).first()
+    own = F.broadcast(found) if total.n <= BROADCAST_ROWS and total.spans <= BROADCAST_SPANS else found
+    hashed = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    joined = hashed.join(own, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")), "left")
+    return joined.withColumn(text_col, F.when(F.col("__spans").isNotNull(), sanitised(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col))).select(*docs.columns)
