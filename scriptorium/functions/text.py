@@ -184,21 +184,30 @@ def count_alert(truth_lines: Column, found_lines: Column, limit: float = 0.15) -
     return F.abs(truth_lines - found_lines) / F.greatest(truth_lines, F.lit(1)) > limit
 
 
+def _folded(x: str) -> str:
+    """A form in which whatever re.IGNORECASE takes for the same is the same, or more is."""
+    return x.casefold().replace("\u0131", "i").replace("i\u0307", "i")
+
+
 class Normaliser:
-    """NFC, abbreviations, spellings, white space: in this order, each list in its own."""
+    """NFC, abbreviations, spellings, white space: in this order, each list in its own.
+
+    A step is tried only where its key stands in the text, borders and case aside.
+    """
 
     def __init__(self):
-        pairs = [*lex.ABBREVIATIONS, *lex.VARIANTS]
-        self.steps = [(re.compile(r"\b" + re.escape(k) + r"\b", re.IGNORECASE), v) for k, v in pairs]
-        self.any = re.compile(r"\b(?:" + "|".join(re.escape(k) for k, _ in sorted(pairs, key=lambda p: -len(p[0]))) + r")\b", re.IGNORECASE)
+        self.steps = [(_folded(k), re.compile(r"\b" + re.escape(k) + r"\b", re.IGNORECASE), v) for k, v in [*lex.ABBREVIATIONS, *lex.VARIANTS]]
 
     def __call__(self, text: str | None) -> str:
         if not text:
             return ""
         text = unicodedata.normalize("NFC", text)
-        if self.any.search(text):  # no step matches where none of its keys does
-            for pattern, value in self.steps:
-                text = pattern.sub(value, text)
+        folded = _folded(text)
+        for key, pattern, value in self.steps:
+            if key in folded:
+                new = pattern.sub(value, text)
+                if new != text:
+                    text, folded = new, _folded(new)
         return re.sub(r"\s+", " ", text).strip()
 
 
