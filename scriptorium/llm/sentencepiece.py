@@ -10,8 +10,9 @@ equals the usual encoding, since a piece's rank is below its parts'; where ranks
 (runs of blanks), edges come by their ends, shorter ones first.
 
 The words so encoded go to the workers in a compact table of bounded size, and documents
-are encoded where they lie: no document is shuffled. A word beyond the table, or longer than
-a fold of bits can hold, gets its lattice and the same fold in the worker that meets it.
+are encoded where they lie: no document is shuffled. A word beyond the table gets its lattice
+and the same fold in the worker that meets it, together with the other such words of a slice
+of texts; a word longer than a fold of bits can hold, by itself.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ UNIGRAM, BPE = 1, 2
 TABLE_WORDS, FREQUENT_WORDS = 500_000, 60_000
 #: Code points of the longest word in the lattice; a position is a bit of a BIGINT.
 LATTICE_LETTERS = 48
+#: Words whose lattices stand in a worker's memory at once, letters of longer words whose ids it remembers, ids that it spells at once.
+LATTICE_WORDS, KEPT_LETTERS, SPELT_IDS = 8_000, 1_000_000, 1 << 18
 #: What a unigram model takes off the lowest score for an unknown character.
 UNKNOWN_PENALTY = 10.0
 
@@ -221,6 +225,144 @@ def encode_words(words: DataFrame, model: Model) -> DataFrame:
     return segmented(edges.withColumn("borders", fold), model)
 
 
+class WordFold:
+    """Ids of words beyond the table: the lattices of many words at once, as arrays, and the fold by rank over them.
+
+    Substrings are met letter by letter along a trie of the pieces. A node is the number of its
+    prefix, that of one letter the letter's code; 0 is none. Children are found by an open hash.
+    """
+
+    def __init__(self, model: Model):
+        self.model, self.memo, self.kept, self.most = model, {}, 0, LATTICE_WORDS
+        if model.kind != BPE:
+            return
+        letters = sorted({c for p in model.pieces for c in p})
+        self.code = np.zeros(ord(letters[-1]) + 2, np.int64)
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        number = {c: i for i, c in enumerate(letters, 1)}
+        self.fan, keys = len(letters) + 1, []
+        for p in model.pieces:
+            for k in range(2, len(p) + 1):
+                if p[:k] not in number:
+                    keys.append(number[p[: k - 1]] * self.fan + number[p[k - 1]])
+                    number[p[:k]] = len(number) + 1
+        self.piece, self.rank = np.full(len(number) + 1, -1, np.int64), np.zeros(len(number) + 1, np.int64)
+        rank = {cost: k for k, cost in enumerate(sorted({-model.score[i] for i in model.pieces.values()}))}
+        for p, i in model.pieces.items():
+            self.piece[number[p]], self.rank[number[p]] = i, rank[-model.score[i]]
+        self.place = (LATTICE_LETTERS + 1).bit_length()
+        self.id_bits, self.rank_bits = int(self.piece.max()).bit_length(), len(rank).bit_length()
+        self.most = min(LATTICE_WORDS, 1 << (63 - self.id_bits - self.rank_bits - 2 * self.place))
+        self._hash(np.array(keys, np.uint64), np.arange(len(letters) + 1, len(number) + 1))
+
+    def _hash(self, keys: np.ndarray, nodes: np.ndarray) -> None:
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.drop, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.nodes = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
+        at = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] == 0)
+            _, one = np.unique(at[free], return_index=True)
+            put = free[one]
+            self.keys[at[put]], self.nodes[at[put]] = keys[put], nodes[put]
+            keys, nodes, at = np.delete(keys, put), np.delete(nodes, put), np.delete(at, put) + 1 & self.last
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(0x9E3779B97F4A7C15) >> self.drop).astype(np.int64)
+
+    def _children(self, nodes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        keys = (nodes * self.fan + codes).astype(np.uint64)
+        at, out = self._slot(keys), np.zeros(len(keys), np.int64)
+        held = self.keys[at]
+        hit = held == keys
+        out[hit] = self.nodes[at[hit]]
+        left = np.flatnonzero(~hit & (held != 0))
+        while len(left):
+            at[left] = at[left] + 1 & self.last
+            held = self.keys[at[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.nodes[at[left[hit]]]
+            left = left[~hit & (held != 0)]
+        return out
+
+    def encode(self, words: list[str]) -> tuple[dict[str, int], np.ndarray, np.ndarray]:
+        """Each word's row, where its ids begin and the last ones end, and all ids."""
+        quick = [w for w in words if len(w) <= LATTICE_LETTERS] if self.model.kind == BPE else []
+        slow = [w for w in words if len(w) > LATTICE_LETTERS] if quick else words
+        parts = [self._folded(quick[i : i + self.most]) for i in range(0, len(quick), self.most)]
+        one = [self._remembered(w) for w in slow]
+        lengths = np.concatenate([*(n for n, _ in parts), np.array([len(x) for x in one], np.int64)])
+        ids = np.concatenate([*(x for _, x in parts), np.array([i for x in one for i in x], np.int64)])
+        return {w: k for k, w in enumerate([*quick, *slow])}, np.concatenate([[0], np.cumsum(lengths)]), ids
+
+    def _remembered(self, word: str) -> list[int]:
+        if word not in self.memo:
+            if self.kept > KEPT_LETTERS:
+                self.memo.clear()
+                self.kept = 0
+            self.memo[word] = self.model.encode_word(word)
+            self.kept += len(word)
+        return self.memo[word]
+
+    def _folded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all of them."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        begins = np.cumsum(sizes) - sizes
+        word = np.repeat(np.arange(len(words)), sizes)
+        place = np.arange(len(letters)) - begins[word]
+        codes = self.code[np.minimum(letters, len(self.code) - 1)]
+        edges = np.sort(self._edges(word, place, codes, (begins + sizes)[word]))
+        ids = self.piece[codes]  # at each letter, of the piece that begins there
+        borders = self._fold(edges, begins, sizes, ids)
+        begin = np.flatnonzero(borders[word] >> place & 1)
+        ids, spans = ids[begin], np.ones(len(begin), np.int64)
+        unknown = np.flatnonzero(ids < 0)
+        if len(unknown):
+            other = [self.model.unknown_ids(chr(c)) for c in letters[begin[unknown]].tolist()]
+            spans[unknown] = [len(x) for x in other]
+            ids = np.repeat(ids, spans)
+            ids[ids < 0] = [i for x in other for i in x]
+        return np.bincount(word[begin], spans, len(words)).astype(np.int64), ids
+
+    def _edges(self, word: np.ndarray, place: np.ndarray, codes: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """(word, rank, end, length, id) of each substring of two letters at least that is a piece, packed."""
+        at, nodes, size, found = np.arange(len(codes)), codes, 1, [np.zeros(0, np.int64)]
+        while len(at):
+            on = np.flatnonzero((at + size < stop[at]) & (nodes > 0))
+            at, nodes = at[on], nodes[on]
+            nodes = self._children(nodes, codes[at + size])
+            size += 1
+            own = np.flatnonzero(self.piece[nodes] >= 0)
+            a, i = at[own], nodes[own]
+            e = (word[a] << self.rank_bits | self.rank[i]) << self.place | place[a] + size
+            found.append((e << self.place | size) << self.id_bits | self.piece[i])
+        return np.concatenate(found)
+
+    def _fold(self, edges: np.ndarray, begins: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """A bit for each border that BPE leaves in each word, as merge_fold; the k-th edges of all words are taken together."""
+        one, low = np.int64(1), (1 << self.place) - 1
+        end = edges >> self.id_bits + self.place & low
+        start = end - (edges >> self.id_bits & low)
+        word = edges >> self.id_bits + 2 * self.place + self.rank_bits
+        ends, inside = one << start | one << end, (one << end) - (one << start + 1)
+        at, pieces = begins[word] + start, edges & (1 << self.id_bits) - 1
+        counts = np.bincount(word, minlength=len(sizes))
+        order = np.argsort(-counts, kind="stable")
+        first, counts = (np.cumsum(counts) - counts)[order], counts[order]
+        mask = (one << (sizes + 1)[order]) - 1
+        for k in range(int(counts[0]) if len(counts) else 0):
+            now = mask[: np.searchsorted(-counts, -k)]
+            e = first[: len(now)] + k
+            inner = now & inside[e]
+            fits = np.flatnonzero((now & ends[e] == ends[e]) & (inner != 0) & (inner & inner - 1 == 0))
+            now[fits] ^= inner[fits]
+            ids[at[e[fits]]] = pieces[e[fits]]
+        borders = np.empty_like(mask)
+        borders[order] = mask
+        return borders
+
+
 class Table:
     """Ids of the words in the table, in one array."""
 
@@ -250,12 +392,11 @@ def encode(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
     small_batches(spark)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     counts = materialise(count_words(texts, _splitter(model), "string"), "words")
-    held = Shared(spark, (model, word_table(spark, counts, model, table_words)))
+    held = Shared(spark, (model, WordFold(model), word_table(spark, counts, model, table_words)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table = held.value
+        own, fold, table = held.value
         find, offsets, values, split = table.lexicon.find, table.offsets, table.values, own.split
-        memo: dict[str, list[int]] = {}
         for batch in batches:
             for part in pieces_of(batch, 1):
                 words, sizes = [], []
@@ -264,25 +405,17 @@ def encode(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: s
                     words += w
                     sizes.append(len(w))
                 rows = find(words)
-                lengths = np.where(rows >= 0, offsets[rows + 1] - offsets[rows], 0)
-                rest = np.flatnonzero(rows < 0).tolist()
-                if len(memo) > 50_000:
-                    memo.clear()
-                for k in rest:
-                    if words[k] not in memo:
-                        memo[words[k]] = own.encode_word(words[k])
-                    lengths[k] = len(memo[words[k]])
-                ends = np.cumsum(lengths)
-                begins = ends - lengths
                 known = rows >= 0
-                out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
-                shift = np.where(known, offsets[rows], 0) - begins
-                at = np.arange(len(out))
-                source = np.repeat(shift, lengths) + at
+                rest = np.flatnonzero(~known).tolist()
+                row, starts, others = fold.encode(list(dict.fromkeys([words[k] for k in rest])))
+                at = np.array([row[words[k]] for k in rest], np.int64)
+                begins, lengths = offsets[rows], offsets[rows + 1] - offsets[rows]
+                begins[rest], lengths[rest] = starts[at], starts[at + 1] - starts[at]
+                ends = np.cumsum(lengths)
+                source = np.repeat(begins - ends + lengths, lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
                 inside = np.repeat(known, lengths)
-                out[inside] = values[source[inside]]
-                for k in rest:
-                    out[begins[k] : ends[k]] = memo[words[k]]
+                out = np.empty(len(source), np.int32)
+                out[inside], out[~inside] = values[source[inside]], others[source[~inside]]
                 last = np.cumsum(sizes)
                 bounds = np.concatenate([[0], np.where(last > 0, ends[np.maximum(last, 1) - 1] if len(ends) else 0, 0)])
                 yield pa.record_batch([part.column(0), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(out, pa.int32()))], ["id", "ids"])
@@ -300,22 +433,29 @@ def _splitter(model: Model):
     return split
 
 
+def spelt(ids: pa.ListArray, spell: pa.BinaryArray, prefix: bool) -> pa.StringArray:
+    """The text of each list of ids, null for null; bytes that are no UTF-8 are replaced."""
+    at = ids.offsets.to_numpy()
+    lists = pa.ListArray.from_arrays(pa.array(at - at[0]), spell.take(ids.values.slice(at[0], at[-1] - at[0])))
+    joined = pc.binary_join(lists, b"")
+    try:
+        texts = joined.cast(pa.string())
+    except pa.ArrowInvalid:
+        texts = pa.array([b.decode("utf-8", "replace") for b in joined.to_pylist()], pa.string())
+    if prefix:
+        texts = pc.if_else(pc.starts_with(texts, " "), pc.utf8_slice_codeunits(texts, 1), texts)
+    return pc.if_else(ids.is_valid(), texts, pa.scalar(None, pa.string()))
+
+
 def decode(encoded: DataFrame, model: Model) -> DataFrame:
     """(id, ids, text) from (id, ids): the text that the ids spell; null ids give null."""
     held = Shared(encoded.sparkSession, (model.spell, model.prefix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spell, prefix = held.value
+        spell = pa.array(spell, pa.binary())
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                texts = []
-                for ids in part.column(1):
-                    if not ids.is_valid:
-                        texts.append(None)
-                        continue
-                    s = b"".join([spell[k] for k in ids.values.to_pylist()]).decode("utf-8", "replace")
-                    texts.append(s[1:] if prefix and s.startswith(" ") else s)
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string())], ["id", "ids", "text"])
+            for part in pieces_of(batch, 1, SPELT_IDS):
+                yield pa.record_batch([part.column(0), part.column(1), spelt(part.column(1), spell, prefix)], ["id", "ids", "text"])
 
     return encoded.select("id", "ids").mapInArrow(run, "id bigint, ids array<int>, text string")

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -86,6 +87,55 @@ def test_words_beyond_the_table_are_encoded_too(spark):
 UNIGRAM = [("<unk>", 0.0), ("▁", -2.0), ("a", -3.0), ("b", -3.5), ("ab", -4.0), ("▁a", -3.2), ("bab", -5.0), ("aba", -5.5), ("▁ab", -4.9), ("c", -1.0)]
 
 
+def test_words_beyond_the_table_share_one_fold(monkeypatch):
+    r, model = random.Random(7), sentencepiece.Model()
+    words = {w for t in random_texts(600, 8) for w in model.split(t)} | {"▁" * k for k in range(1, 60)} | {"▁" + "a" * k for k in range(60)}
+    words |= {"▁" + "".join(r.choice("abcdeinrst") for _ in range(r.randint(1, 12))) for _ in range(9000)} | {"\U0010ffff", "▁\U0010ffffa"}
+    alone = {w: model.encode_word(w) for w in words}
+    fold, by_itself = sentencepiece.WordFold(model), []
+    monkeypatch.setattr(model, "encode_word", lambda w: by_itself.append(w) or alone[w])
+    row, starts, ids = fold.encode(list(words))
+    assert len(starts) == len(words) + 1 and starts[-1] == len(ids)
+    assert {w: ids[starts[k] : starts[k + 1]].tolist() for w, k in row.items()} == alone
+    assert set(by_itself) == {w for w in words if len(w) > sentencepiece.LATTICE_LETTERS}
+    row, starts, ids = fold.encode([])
+    assert (row, starts.tolist(), len(ids)) == ({}, [0], 0)
+
+
+def test_fold_of_models_without_bytes_and_of_unigram_models():
+    pieces = [("<unk>", 0.0), ("▁", -7.0), ("a", -8.0), ("b", -9.0), ("ab", -1.0), ("▁a", -2.0), ("bab", -4.0), ("aba", -3.0), ("▁ab", -5.0)]
+    for model in (sentencepiece.Model.of(pieces, sentencepiece.BPE), sentencepiece.Model.of(UNIGRAM)):
+        words = ["▁" + "".join(w) for n in range(6) for w in itertools.product("abx", repeat=n)] + ["▁" + "ab" * 60]
+        row, starts, ids = sentencepiece.WordFold(model).encode(words)
+        assert all(ids[starts[row[w]] : starts[row[w] + 1]].tolist() == model.encode_word(w) for w in words)
+
+
+def test_many_ids_are_spelt_without_a_step_for_each():
+    import time
+
+    import pyarrow as pa
+
+    model = sentencepiece.Model()
+    spell, lists = pa.array(model.spell, pa.binary()), [[130, 200, 500], None, [], [500], list(range(len(model.spell)))]
+
+    def plain(x):
+        s = b"".join([model.spell[k] for k in x]).decode("utf-8", "replace")
+        return s[1:] if s.startswith(" ") else s
+
+    ids = pa.array(lists, pa.list_(pa.int32()))
+    want = [None if x is None else plain(x) for x in lists]
+    assert sentencepiece.spelt(ids, spell, True).to_pylist() == want
+    assert sentencepiece.spelt(ids.slice(1, 3), spell, True).to_pylist() == want[1:4]
+    many = [[300 + k % 30_000 for k in range(i, i + 1000)] for i in range(400)]
+    ids = pa.array(many, pa.list_(pa.int32()))
+    at = [time.process_time()]
+    got = sentencepiece.spelt(ids, spell, True)
+    at.append(time.process_time())
+    assert got.to_pylist() == [plain(x) for x in many]
+    at.append(time.process_time())
+    assert at[1] - at[0] < 3 * (at[2] - at[1])  # each id as a Python object of its own cost more than ten times as much
+
+
 def brute_viterbi(model, word):
     """All segmentations; the best score."""
     low = min(model.score) - sentencepiece.UNKNOWN_PENALTY
