@@ -44,7 +44,9 @@ def split(rows: DataFrame, *, key: str, text_col: str = "text", total: int | Non
     place = F.col("__rank")
     name = F.when(place < train, "train").when(place < train + dev, "dev").otherwise("test")
     index = place - F.when(place < train, 0).when(place < train + dev, train).otherwise(train + dev)
-    return placed.withColumns({"split": name, "split_index": index}).withColumn("img_name", F.concat("split", F.lit("_"), F.lpad(F.col("split_index").cast("string"), 4, "0"), F.lit(".png"))).drop("__h", "__rank")
+    number = F.col("split_index").cast("string")
+    padded = F.lpad(number, F.greatest(F.lit(4), F.length(number)), F.lit("0"))  # lpad cuts what is longer
+    return placed.withColumns({"split": name, "split_index": index}).withColumn("img_name", F.concat("split", F.lit("_"), padded, F.lit(".png"))).drop("__h", "__rank")
 
 
 #: Rows of a chunk that are numbered together, about.

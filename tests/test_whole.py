@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import distance
-from scriptorium.operators import nlp
+from scriptorium.operators import corpus, nlp
 from scriptorium.plans import queries
 
 
@@ -64,3 +64,8 @@ def test_topics_see_every_document_in_each_pass(spark):
     found = nlp.topics(spark.createDataFrame(rows, "text string"), text_col="text", n_topics=8, words=10).collect()
     best = {w for r in found for w, x in zip(r.words, r.weights) if x > 0.09}
     assert best == {w for t in themes for w in t}
+
+
+def test_names_of_large_splits_are_not_cut(spark):
+    got = corpus.split(spark.range(11_200).withColumn("text", F.lit("x")), key="id", total=None).select("split", "split_index", "img_name").collect()
+    assert all(r.img_name == f"{r.split}_{r.split_index:04d}.png" for r in got) and len({r.img_name for r in got}) == 11_200
