@@ -7,9 +7,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -184,7 +184,7 @@ def count_alert(truth_lines: Column, found_lines: Column, limit: float = 0.15) -
     return F.abs(truth_lines - found_lines) / F.greatest(truth_lines, F.lit(1)) > limit
 
 
-def _folded(x: str) -> str:
+def folded(x: str) -> str:
     """A form in which whatever re.IGNORECASE takes for the same is the same, or more is."""
     return x.casefold().replace("\u0131", "i").replace("i\u0307", "i")
 
@@ -192,28 +192,35 @@ def _folded(x: str) -> str:
 class Normaliser:
     """NFC, abbreviations, spellings, white space: in this order, each list in its own.
 
-    A step is tried only where its key stands in the text, borders and case aside.
+    A step is tried only where its key stands in the text, borders and case aside. Keys with
+    signs of their own are looked for by these, the others are words.
     """
 
     def __init__(self):
-        self.steps = [(_folded(k), re.compile(r"\b" + re.escape(k) + r"\b", re.IGNORECASE), v) for k, v in [*lex.ABBREVIATIONS, *lex.VARIANTS]]
+        self.steps = [(folded(k), re.compile(r"\b" + re.escape(k) + r"\b", re.IGNORECASE), v) for k, v in [*lex.ABBREVIATIONS, *lex.VARIANTS]]
+        keys = [k for k, *_ in self.steps]
+        self.words = frozenset(k for k in keys if k.isascii() and k.isalpha())
+        self.signs = sorted({next((c for c in k if not c.isalnum()), max(k)) for k in keys if k not in self.words})
+        self.word = re.compile(r"\w+")
 
     def __call__(self, text: str | None) -> str:
         if not text:
             return ""
         text = unicodedata.normalize("NFC", text)
-        folded = _folded(text)
-        for key, pattern, value in self.steps:
-            if key in folded:
-                new = pattern.sub(value, text)
-                if new != text:
-                    text, folded = new, _folded(new)
-        return re.sub(r"\s+", " ", text).strip()
+        lower = folded(text)
+        if any(c in lower for c in self.signs) or not self.words.isdisjoint(folded(" ".join(self.word.findall(text))).split()):
+            for key, pattern, value in self.steps:
+                if key in lower:
+                    new = pattern.sub(value, text)
+                    if new != text:
+                        text, lower = new, folded(new)
+        return " ".join(text.split())
 
 
-@F.pandas_udf(T.StringType())
-def normalise(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+NORMALISER = Normaliser()
+
+
+@F.arrow_udf(T.StringType())
+def normalise(x: pa.Array) -> pa.Array:
     """Normalised texts; null and empty ones are empty. Python's word borders and case folding are part of the result."""
-    own = Normaliser()
-    for x in parts:
-        yield x.map(own)
+    return pa.array([NORMALISER(s) for s in x.to_pylist()], pa.string())

@@ -1,22 +1,23 @@
 """Entities, relations, themes and topics of transcriptions.
 
 Rules that need Python's regular expressions and code point offsets run in one Arrow UDF a
-document; what follows (deduplication, proximity, scores, reports) are Columns and joins.
+document, with deduplication and proximity; themes, scores and reports are Columns and joins.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Iterator
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import lexicons as lex
 from ..functions import text
-
+from ..functions.text import NORMALISER
+from . import rules as rules_of
+from .rules import EntityRules, RelationRules, Words
 
 
 def _rows(**fields) -> T.ArrayType:
@@ -27,101 +28,68 @@ _TEXT, _INT, _REAL = T.StringType(), T.IntegerType(), T.DoubleType()
 ENTITY = _rows(text=_TEXT, label=_TEXT, start=_INT, end=_INT, source=_TEXT, confidence=_REAL)
 RELATION = _rows(subject=_TEXT, predicate=_TEXT, object=_TEXT, sentence=_TEXT, confidence=_REAL)
 
-# Confidences by kind of rule, and how near things are for a relation.
-NEAR, NEAR_CONTEXT, PATTERN_CONTEXT = 80, 20, 30
-THEME_FLOOR, OPENING_BONUS, OPENING_LETTERS = 0.15, 2.0, 200
-
-
-#: Entities that are passed over together.
-NEIGHBOURS = 64
-
+THEME_FLOOR, OPENING_BONUS, OPENING_LETTERS = 0.15, 2.0, 200  # fixed values
+NEAR = rules_of.NEAR
+# what workers run: single objects, since a module would be sent as a whole
+_unique_entities, _unique_relations, _near = rules_of.dedup_entities, rules_of.dedup_relations, rules_of.proximity
 
-class EntityRules:
-    """(pattern, group, label, source, confidence, least length, stop words), tried in order, all matches kept."""
 
-    def __init__(self):
-        c = lambda p: re.compile(p, re.IGNORECASE)
-        self.dates = [c(p) for p in lex.DATES]
-        self.rules = [
-            (c(lex.PERSON_TITLED), 0, "PER", "rule", 0.85, 5, frozenset()),
-            (re.compile(lex.PERSON_FORMULA), 1, "PER", "rule", 0.65, 4, lex.PERSON_STOP),
-            (c(lex.PLACE_PREFIXED), 0, "LOC", "rule", 0.80, 6, frozenset()),
-            (c(lex.PLACE_AFTER), 1, "LOC", "rule", 0.75, 3, lex.PLACE_STOP),
-            (c(lex.COINS), 0, "MONEY", "regex", 0.90, 0, frozenset()),
-            (c(lex.ORGANISATION), 0, "ORG", "rule", 0.80, 0, frozenset()),
-        ]
+def _tuples(rows: list | None) -> list[tuple] | None:
+    return None if rows is None else [tuple(r.values()) for r in rows]
 
-    def __call__(self, s: str) -> list[tuple]:
-        out = []
-        for p in self.dates:
-            for m in p.finditer(s):
-                if len(m[0].strip()) >= 3:
-                    out.append((m[0].strip(), "DATE", m.start(), m.end(), "regex", 0.95))
-        for p, g, label, source, confidence, least, stop in self.rules:
-            for m in p.finditer(s):
-                if len(m[g]) >= least and m[g].lower() not in stop:
-                    out.append((m[g], label, m.start(g), m.end(g), source, confidence))
-        return out
 
+def _column(lists: list[list[tuple] | None], kind: T.ArrayType) -> pa.Array:
+    """Lists of rows as Arrow has them, field by field."""
+    whole = to_arrow_type(kind)
+    fields = list(whole.value_type)
+    rows = [r for x in lists if x for r in x]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields)
+    ends = np.cumsum([0, *(len(x) if x else 0 for x in lists)], dtype=np.int32)
+    gone = [x is None for x in lists]
+    return pa.ListArray.from_arrays(pa.array(ends), values, type=whole, mask=pa.array(gone) if any(gone) else None)
 
-class RelationRules:
-    """Patterns in order: (predicate, pattern, subject, object, least length, confidence); groups by number, fixed ends by name."""
 
-    def __init__(self):
-        plan = [
-            ("donne_à", lex.GIVES, 1, 2, 3, 0.75),
-            ("date_de", lex.DATED, "document", 1, 4, 0.85),
-            ("lieu_de", lex.PLACED, "document", 1, 3, 0.70),
-            ("signe", lex.SIGNED, 1, "document", 3, 0.80),
-            ("témoin_de", lex.WITNESSED, 1, "document", 3, 0.75),
-            ("montant", lex.PAID, "transaction", 0, 2, 0.90),
-        ]
-        self.rules = [(name, re.compile(p, re.IGNORECASE), a, b, least, conf) for name, ps, a, b, least, conf in plan for p in ps]
+def _found(s: str | None, entities: bool = True, relations: bool = True) -> tuple[list, list]:
+    """Entities and relations of a text by the rules, as they are found."""
+    w = Words(s) if s else None
+    return EntityRules()(s, w) if s and entities else [], RelationRules()(s, w) if s and relations else []
 
-    def __call__(self, s: str) -> list[tuple]:
-        out = []
-        for name, p, a, b, least, confidence in self.rules:
-            for m in p.finditer(s):
-                ends = [m[x].strip() if isinstance(x, int) else x for x in (a, b)]
-                if all(len(e) >= least for e, x in zip(ends, (a, b), strict=True) if isinstance(x, int)):
-                    around = s[max(0, m.start() - PATTERN_CONTEXT) : min(len(s), m.end() + PATTERN_CONTEXT)].strip()
-                    out.append((ends[0], name, ends[1], around, confidence))
-        return out
 
+def _each(use, texts: pa.Array) -> list:
+    """use of each text of a batch; short lines often are the same, and then it is made once."""
+    made: dict = {}
+    return [made[s] if s in made else made.setdefault(s, use(s)) for s in texts.to_pylist()]
 
-def _udf(make: Callable, kind: T.ArrayType):
-    names = kind.elementType.names
 
-    @F.pandas_udf(kind)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = make()
-        for x in parts:
-            yield x.map(lambda s: [dict(zip(names, r, strict=True)) for r in own(s)] if s else [])
+@F.arrow_udf(ENTITY)
+def extract_entities(x: pa.Array) -> pa.Array:
+    """All entities that the rules find, repeated ones too."""
+    return _column(_each(lambda s: _found(s, relations=False)[0], x), ENTITY)
 
-    return run
 
+@F.arrow_udf(RELATION)
+def extract_relations(x: pa.Array) -> pa.Array:
+    """All relations that the patterns find, repeated ones too."""
+    return _column(_each(lambda s: _found(s, entities=False)[1], x), RELATION)
 
-extract_entities = _udf(EntityRules, ENTITY)
-extract_relations = _udf(RelationRules, RELATION)
 
-
-def _heads(rows: Column) -> Column:
-    """Of rows sorted by their k, the first of each k."""
-    return text.once(F.array_sort(rows), lambda r: F.filter(r, lambda x, i: (i == 0) | (F.get(r, i - 1)["k"] != x["k"])))
+@F.arrow_udf(ENTITY)
+def dedup_entities(x: pa.Array) -> pa.Array:
+    """Of equal text, label and start the most confident, of equal ones the first; by start, then by first appearance."""
+    return _column([None if e is None else _unique_entities(_tuples(e)) for e in x.to_pylist()], ENTITY)
 
 
-def dedup_entities(e: Column) -> Column:
-    """Of equal text, label and start the most confident, of equal ones the first; by start, then by first appearance."""
-    key = lambda x: F.struct(F.lower(text.strip(x["text"])).alias("t"), x["label"].alias("l"), x["start"].alias("s"))
+@F.arrow_udf(ENTITY)
+def entities(x: pa.Array) -> pa.Array:
+    """dedup_entities(extract_entities(x)) in one."""
+    return _column(_each(lambda s: _unique_entities(_found(s, relations=False)[0]), x), ENTITY)
 
-    def merged(keyed: Column) -> Column:
-        best = _heads(F.transform(keyed, lambda r: F.struct(r["k"].alias("k"), (-r["x"]["confidence"]).alias("c"), r["i"].alias("i"), r["x"].alias("x"))))
-        first = _heads(F.transform(keyed, lambda r: F.struct(r["k"].alias("k"), r["i"].alias("i"))))
-        # both have one row a key, in the keys' order
-        placed = F.zip_with(best, first, lambda b, f: F.struct(b["x"]["start"].alias("start"), f["i"].alias("first"), b["x"].alias("x")))
-        return F.transform(F.array_sort(placed), lambda r: r["x"])
 
-    return text.once(F.transform(e, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))), merged)
+@F.arrow_udf(RELATION)
+def relations(x: pa.Array) -> pa.Array:
+    """dedup_relations(extract_relations(x)) in one."""
+    return _column(_each(lambda s: _unique_relations(_found(s, entities=False)[1]), x), RELATION)
 
 
 def dedup_entity_rows(entities: DataFrame, doc: str = "document_id") -> DataFrame:
@@ -132,12 +100,10 @@ def dedup_entity_rows(entities: DataFrame, doc: str = "document_id") -> DataFram
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(doc).orderBy("start", "__first"))).drop("__n", "__first")
 
 
-def dedup_relations(r: Column) -> Column:
+@F.arrow_udf(RELATION)
+def dedup_relations(x: pa.Array) -> pa.Array:
     """The first of equal subject, predicate and object; none with an empty end."""
-    key = lambda x: F.struct(F.lower(text.strip(x["subject"])).alias("s"), x["predicate"].alias("p"), F.lower(text.strip(x["object"])).alias("o"))
-    full = F.filter(r, lambda x: (x["subject"] != "") & (x["object"] != ""))
-    first = _heads(F.transform(full, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x"))))
-    return F.transform(F.array_sort(F.transform(first, lambda q: F.struct(q["i"].alias("i"), q["x"].alias("x")))), lambda q: q["x"])
+    return _column([None if r is None else _unique_relations(_tuples(r)) for r in x.to_pylist()], RELATION)
 
 
 def dedup_relation_rows(relations: DataFrame, doc: str = "document_id") -> DataFrame:
@@ -145,27 +111,10 @@ def dedup_relation_rows(relations: DataFrame, doc: str = "document_id") -> DataF
     return relations.filter("subject <> '' and object <> ''").withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
 
-def proximity(s: Column, e: Column) -> Column:
-    """Relations between a person and each date, then each place, that begin near in the same text.
-
-    e comes by start, as dedup_entities() leaves it; blocks of neighbours whose starts are
-    all too far are passed over as one.
-    """
-    count = lambda x: F.ceil(F.size(x) / F.lit(NEIGHBOURS)).cast("int")
-    cut = lambda x: F.transform(F.filter(F.sequence(F.lit(0), count(x)), lambda b: b < count(x)), lambda b: F.slice(x, b * NEIGHBOURS + 1, F.lit(NEIGHBOURS)))
-
-    def pairs(blocks: Column, label: str, predicate: str, confidence: float) -> Column:
-        def one(p: Column, q: Column) -> Column:
-            first = F.greatest(F.least(p["start"], q["start"]) - NEAR_CONTEXT, F.lit(0))
-            last = F.least(F.greatest(p["end"], q["end"]) + NEAR_CONTEXT, F.length(s))
-            around = text.strip(F.substring(s, first + 1, last - first))
-            return F.struct(p["text"].alias("subject"), F.lit(predicate).alias("predicate"), q["text"].alias("object"), around.alias("sentence"), F.lit(confidence).alias("confidence"))
-
-        close = lambda p: F.flatten(F.filter(blocks, lambda b: (F.element_at(b, -1)["start"] > p["start"] - NEAR) & (F.element_at(b, 1)["start"] < p["start"] + NEAR)))
-        near = lambda p: F.filter(close(p), lambda q: (q["label"] == label) & (F.abs(p["start"] - q["start"]) < NEAR) & (p["text"] != q["text"]))
-        return F.flatten(F.transform(F.filter(e, lambda p: p["label"] == "PER"), lambda p: F.transform(near(p), lambda q: one(p, q))))
-
-    return text.once(cut(e), lambda blocks: F.concat(pairs(blocks, "DATE", "date_associée", 0.55), pairs(blocks, "LOC", "associé_à_lieu", 0.50)).cast(RELATION))
+@F.arrow_udf(RELATION)
+def proximity(s: pa.Array, e: pa.Array) -> pa.Array:
+    """Relations between a person and each date, then each place, that begin near in the same text; e comes by start."""
+    return _column([_near(x or "", _tuples(y) or []) for x, y in zip(s.to_pylist(), e.to_pylist(), strict=True)], RELATION)
 
 
 def proximity_rows(entities: DataFrame, *, doc: str = "document_id", person: str = "PER", others: tuple = ("DATE", "LOC"), near: int = NEAR) -> DataFrame:
@@ -227,23 +176,49 @@ def themes(x: Column) -> Column:
     return text.once(text.once(counts, raw), ranked)
 
 
+_ANALYSIS = T.StructType([T.StructField("normalized_text", T.StringType()), T.StructField("entities", ENTITY), T.StructField("relations", RELATION)])
+
+
+def _analysed(normal: bool, rules: bool):
+    """UDF of a text and of entities and relations from elsewhere, or nulls: its normal form, all entities, all relations."""
+
+    def one(s: str | None, more_entities: list, more_relations: list) -> tuple:
+        t = NORMALISER(s) if normal else s or ""
+        e, r = _found(t, entities=rules)
+        e = _unique_entities(e + more_entities)
+        return t, e, _unique_relations(r + more_relations + _near(t, e))
+
+    @F.arrow_udf(_ANALYSIS)
+    def run(x: pa.Array, tagged: pa.Array, parsed: pa.Array) -> pa.Array:
+        if tagged.null_count == parsed.null_count == len(x):
+            made = _each(lambda s: one(s, [], []), x)
+        else:
+            made = [one(s, _tuples(e) or [], _tuples(r) or []) for s, e, r in zip(x.to_pylist(), tagged.to_pylist(), parsed.to_pylist(), strict=True)]
+        texts, entities, relations = zip(*made) if made else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(texts, pa.string()), _column(entities, ENTITY), _column(relations, RELATION)], fields=list(to_arrow_type(_ANALYSIS)))
+
+    return run.asNondeterministic()  # or a filter on what is found, as explode() brings its own, is moved below and finds all again
+
+
 def analyse(docs: DataFrame, *, id_col: str = "document_id", text_col: str = "transcription", taggers: list | None = None, rules: bool = True, parser=None) -> DataFrame:
     """One analysis a document: language of the text as it is; entities, relations and themes of its normal form.
 
-    taggers add entities, parser relations: pandas UDFs from text to ENTITY and RELATION.
+    taggers add entities, parser relations: pandas UDFs from text to ENTITY and RELATION. Without them a text goes to Python once.
     """
-    taken = docs.select(F.col(id_col).cast("string").alias("document_id"), F.col(text_col).alias("transcription"))
-    taken = taken.withColumns({"language": text.language(F.col("transcription")), "normalized_text": text.normalise("transcription")})
-    parts = ([extract_entities("normalized_text")] if rules else []) + [t("normalized_text") for t in taggers or []]
-    taken = taken.withColumn("entities", F.concat(*parts).cast(ENTITY) if parts else F.array().cast(ENTITY)).withColumn("__patterns", extract_relations("normalized_text"))
-    if parser:
-        taken = taken.withColumn("__patterns", F.concat("__patterns", parser("normalized_text")))
-    taken = taken.withColumn("entities", dedup_entities(F.col("entities")))
-    relations = dedup_relations(F.concat("__patterns", proximity(F.col("normalized_text"), F.col("entities"))))
+    taken = docs.select(F.col(id_col).cast("string").alias("document_id"), F.col(text_col).alias("transcription")).withColumn("language", text.language(F.col("transcription")))
+    tagged, parsed = F.lit(None).cast(ENTITY), F.lit(None).cast(RELATION)
+    alone = not taggers and not parser
+    source = F.col("transcription")
+    if not alone:
+        taken, source = taken.withColumn("__normal", text.normalise("transcription")), F.col("__normal")
+        tagged = F.concat(*(t("__normal") for t in taggers)).cast(ENTITY) if taggers else tagged
+        parsed = parser("__normal") if parser else parsed
+        taken = taken.withColumns({"__tagged": tagged, "__parsed": parsed})
+        tagged, parsed = F.col("__tagged"), F.col("__parsed")
+    taken = taken.withColumn("__found", _analysed(alone, rules)(source, tagged, parsed)).select("document_id", "transcription", "language", "__found.*")
     mean = F.aggregate("entities", F.lit(0.0), lambda a, e: a + e["confidence"]) / F.size("entities")
-    return taken.withColumns(
-        {"relations": relations, "themes": F.transform(themes(F.col("normalized_text")), lambda t: t["theme"]), "confidence": F.when(F.size("entities") > 0, F.round(mean, 3)).otherwise(0.0)}
-    ).drop("__patterns")
+    order = ["document_id", "transcription", "language", "normalized_text", "entities", "relations", "themes", "confidence"]
+    return taken.withColumns({"themes": F.transform(themes(F.col("normalized_text")), lambda t: t["theme"]), "confidence": F.when(F.size("entities") > 0, F.round(mean, 3)).otherwise(0.0)}).select(*order)
 
 
 def report(analyses: DataFrame) -> DataFrame:

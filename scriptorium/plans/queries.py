@@ -520,14 +520,14 @@ def normalized_texts(spark, sf_dir):
 
 @query()
 def entities_rules(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("e", nlp.extract_entities(text.normalise("text")))
-    return d.select("doc_id", F.explode(nlp.dedup_entities(F.col("e"))).alias("e")).select("doc_id", "e.*")
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.explode(nlp.entities(text.normalise("text"))).alias("e")).select("doc_id", "e.*")
 
 
 @query()
 def relations_patterns(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("r", nlp.extract_relations(text.normalise("text")))
-    return d.select("doc_id", F.explode(nlp.dedup_relations(F.col("r"))).alias("r")).select("doc_id", "r.*")
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.explode(nlp.relations(text.normalise("text"))).alias("r")).select("doc_id", "r.*")
 
 
 @query()

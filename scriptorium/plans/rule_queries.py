@@ -69,8 +69,7 @@ window w as (partition by doc_id, lower(trim(text)), label, start order by confi
 
 @query(f'select doc_id, text, label, start, "end", source, confidence from {_ENTITIES}')
 def entities_lines(spark, sf_dir):
-    d = _lines(spark, sf_dir).withColumn("e", nlp.extract_entities("text"))
-    return d.select("doc_id", F.explode(nlp.dedup_entities(F.col("e"))).alias("e")).select("doc_id", "e.*")
+    return _lines(spark, sf_dir).select("doc_id", F.explode(nlp.entities("text")).alias("e")).select("doc_id", "e.*")
 
 
 def _patterns() -> str:
@@ -90,8 +89,7 @@ def _unique(rows: str) -> str:
 
 @query(f"select * from {_unique(f'select *, 0 as k2 from ({_patterns()})')}")
 def relations_lines(spark, sf_dir):
-    d = _lines(spark, sf_dir).withColumn("r", nlp.extract_relations("text"))
-    return d.select("doc_id", F.explode(nlp.dedup_relations(F.col("r"))).alias("r")).select("doc_id", "r.*")
+    return _lines(spark, sf_dir).select("doc_id", F.explode(nlp.relations("text")).alias("r")).select("doc_id", "r.*")
 
 
 def _near(rule: int, label: str, predicate: str, confidence: float) -> str:
