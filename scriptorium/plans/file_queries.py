@@ -244,6 +244,10 @@ def sink_segmentation(spark, sf_dir):
     return back.select("page_id", F.size("lines").alias("n_lines"), F.size("marginalia").alias("n_marginalia"), F.size("discarded").alias("n_discarded"), F.col("image_shape")[0].alias("img_h"), F.col("image_shape")[1].alias("img_w"), F.size("regions").alias("n_regions"), total.alias("x0_sum"))
 
 
+_TEXT_LINES = "array<struct<Coords:struct<_points:string>>>"
+_PAGE_XML = f"Metadata struct<Creator:string>, Page struct<_imageFilename:string,_imageWidth:int,TextRegion:array<struct<_type:string,TextLine:{_TEXT_LINES}>>>"
+
+
 @query(f"""select page_id, count(*) filter (route = 'main')::int as n_main, count(*) filter (route = 'marginalia')::int as n_marginalia, page_id || '.png' as file, 1000 as img_w, 'b' as creator,
 coalesce(first(x0 || ',' || y0 || ' ' || x1 || ',' || y0 || ' ' || x1 || ',' || y1 || ' ' || x0 || ',' || y1 order by det_ord, x0, y0, x1, y1) filter (route = 'main'), '') as first_points from {_ROUTE} group by 1""")
 def sink_page_xml(spark, sf_dir):
@@ -256,10 +260,12 @@ def sink_page_xml(spark, sf_dir):
     pages = nested.select("page_id", F.concat(F.lit("a/"), "page_id", F.lit(".png")).alias("image_path"), "img_w", "img_h", F.array(region).alias("regions"), "marginalia")
     path = scratch.folder(spark, "xml")
     writers.page_xml(pages, creator="b").write.parquet(path)
-    x = lambda f, p: F.call_function(f, F.col("xml"), F.lit(p))
-    return spark.read.parquet(path).select(
-        "page_id", x("xpath_int", "count(//TextRegion[@type='text']/TextLine)").alias("n_main"), x("xpath_int", "count(//TextRegion[@type='marginalia']/TextLine)").alias("n_marginalia"), x("xpath_string", "//Page/@imageFilename").alias("file"),
-        x("xpath_int", "//Page/@imageWidth").alias("img_w"), x("xpath_string", "//Creator").alias("creator"), x("xpath_string", "(//TextRegion[@type='text']/TextLine)[1]/Coords/@points").alias("first_points"),
+    back = spark.read.parquet(path).select("page_id", F.from_xml("xml", _PAGE_XML).alias("x"))  # each file is parsed once
+    lines = lambda kind: F.flatten(F.transform(F.filter("x.Page.TextRegion", lambda r: r["_type"] == kind), lambda r: F.coalesce(r["TextLine"], F.array().cast(_TEXT_LINES))))
+    count = lambda kind: F.size(F.coalesce(lines(kind), F.array().cast(_TEXT_LINES)))
+    return back.select(
+        "page_id", count("text").alias("n_main"), count("marginalia").alias("n_marginalia"), F.col("x.Page._imageFilename").alias("file"), F.col("x.Page._imageWidth").alias("img_w"), F.col("x.Metadata.Creator").alias("creator"),
+        F.coalesce(F.get(lines("text"), F.lit(0))["Coords"]["_points"], F.lit("")).alias("first_points"),
     )
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from xml.etree import ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -132,44 +131,51 @@ def segmentation_json(pages: DataFrame, lines: DataFrame, regions: DataFrame, ex
     return pages.select("page_id", "image_path", F.array("img_h", "img_w").alias("image_shape"), F.lit(contract.COORDINATES).alias("system_coordinates")).join(areas, "page_id", "left").join(nested, "page_id", "left")
 
 
+_SIGNS = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"))
+_QUOTED = (*_SIGNS, ('"', "&quot;"), ("\r", "&#13;"), ("\n", "&#10;"), ("\t", "&#09;"))
+
+
+def _attribute(x: Column) -> Column:
+    for sign, name in _QUOTED:
+        x = F.replace(x, F.lit(sign), F.lit(name))
+    return x
+
+
+def _element(name: str, value: str) -> str:
+    for sign, written in _SIGNS:
+        value = value.replace(sign, written)
+    return f"<{name}>{value}</{name}>" if value else f"<{name} />"
+
+
 def page_xml(pages: DataFrame, *, creator: str = "scriptorium", created: str = "") -> DataFrame:
     """(page_id, xml) from nested pages: page_id, image_path, img_w, img_h, regions and marginalia.
 
     regions: [(region_id, region_type, polygon, lines: [(line_id, reading_order, polygon, baseline)])].
+    What has no id or polygon is an error.
     """
-
-    def points(p) -> str:
-        return " ".join(f"{int(x)},{int(y)}" for x, y in p)
-
-    def add_line(parent, line, main: bool) -> None:
-        el = ET.SubElement(parent, "TextLine", id=line["line_id"], **({"readingOrder": str(line["reading_order"])} if main else {}))
-        ET.SubElement(el, "Coords", points=points(line["polygon"]))
-        if main and line["baseline"] is not None and len(line["baseline"]):
-            ET.SubElement(el, "Baseline", points=points(line["baseline"]))
-
-    def build(r) -> str:
-        top = ET.Element("PcGts", {"xmlns": PAGE, "xmlns:xsi": XSI, "xsi:schemaLocation": f"{PAGE} {PAGE}/pagecontent.xsd"})
-        meta = ET.SubElement(top, "Metadata")
-        ET.SubElement(meta, "Creator").text = creator
-        ET.SubElement(meta, "Created").text = created
-        page = ET.SubElement(top, "Page", imageFilename=r.image_path.rsplit("/", 1)[-1], imageWidth=str(r.img_w), imageHeight=str(r.img_h))
-        for g in r.regions if r.regions is not None else []:
-            el = ET.SubElement(page, "TextRegion", id=g["region_id"], type=g["region_type"])
-            ET.SubElement(el, "Coords", points=points(g["polygon"]))
-            for line in g["lines"] if g["lines"] is not None else []:
-                add_line(el, line, True)
-        if r.marginalia is not None and len(r.marginalia):
-            el = ET.SubElement(page, "TextRegion", id=f"{r.page_id}_marginalia", type="marginalia")
-            for line in r.marginalia:
-                add_line(el, line, False)
-        ET.indent(top)
-        return '<?xml version="1.0" ?>\n' + ET.tostring(top, encoding="unicode") + "\n"
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pd.DataFrame({"page_id": pdf.page_id, "xml": [build(r) for r in pdf.itertuples()]})
-
-    return pages.mapInPandas(run, "page_id string, xml string")
+    head = f'<?xml version="1.0" ?>\n<PcGts xmlns="{PAGE}" xmlns:xsi="{XSI}" xsi:schemaLocation="{PAGE} {PAGE}/pagecontent.xsd">\n  <Metadata>\n'
+    head += f'    {_element("Creator", creator)}\n    {_element("Created", created)}\n  </Metadata>\n'
+    said = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    whole = lambda x: x.cast("bigint").cast("string")
+    points = lambda p: F.array_join(F.transform(p, lambda q: said(whole(q[0]), ",", whole(q[1]))), " ")
+    each = lambda rows, use: F.when(rows.isNull(), "").otherwise(F.array_join(F.transform(rows, use), ""))
+
+    def line(x: Column, main: bool) -> Column:
+        order = said(' readingOrder="', x["reading_order"].cast("string"), '"') if main else F.lit("")
+        base = F.when(F.size(x["baseline"]) > 0, said('        <Baseline points="', points(x["baseline"]), '" />\n')).otherwise("") if main else F.lit("")
+        made = said('      <TextLine id="', _attribute(x["line_id"]), '"', order, '>\n        <Coords points="', points(x["polygon"]), '" />\n', base, "      </TextLine>\n")
+        return F.coalesce(made, F.raise_error(F.lit("page_xml: a line without id, place or polygon")))
+
+    def region(x: Column) -> Column:
+        start = said('    <TextRegion id="', _attribute(x["region_id"]), '" type="', _attribute(x["region_type"]), '">\n      <Coords points="', points(x["polygon"]), '" />\n')
+        return F.coalesce(said(start, each(x["lines"], lambda r: line(r, True)), "    </TextRegion>\n"), F.raise_error(F.lit("page_xml: a region without id, type or polygon")))
+
+    margin, name = F.col("marginalia"), F.element_at(F.split("image_path", "/"), -1)
+    margins = F.when(F.size(margin) > 0, said('    <TextRegion id="', _attribute(F.col("page_id")), '_marginalia" type="marginalia">\n', each(margin, lambda r: line(r, False)), "    </TextRegion>\n")).otherwise("")
+    inner = F.concat(each(F.col("regions"), region), margins)
+    page = said('  <Page imageFilename="', _attribute(name), '" imageWidth="', F.col("img_w").cast("string"), '" imageHeight="', F.col("img_h").cast("string"), '"')
+    xml = text.once(inner, lambda x: said(head, page, F.when(x == "", " />\n").otherwise(said(">\n", x, "  </Page>\n")), "</PcGts>\n"))
+    return pages.select("page_id", F.coalesce(xml, F.raise_error(F.lit("page_xml: a page without id, image or size"))).alias("xml"))
 
 
 def write_label_files(split_rows: DataFrame, path: str) -> None:

@@ -213,6 +213,23 @@ def test_page_xml(spark):
     assert root.find(".//p:Baseline", ns).get("points") == "1,2 2,2"
 
 
+def test_page_xml_is_made_and_read_without_python_or_xpath(spark, tmp_path):
+    from scriptorium.plans import file_queries
+
+    spark.createDataFrame([(1, i + 1, 1, i * 20, "A<&>\""[i % 2 :], 30.0) for i in range(5)], "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_returnflag string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = file_queries.sink_page_xml(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 1 and "xpath" not in plan
+    line = "array<struct<line_id:string,reading_order:int,polygon:array<array<double>>,baseline:array<array<double>>>>"
+    pages = spark.createDataFrame([('p&"', "x/<a>.png", 1, 2, [], [('m\n<"', 3, [[1.9, -1.9]], None)]), ("q", "q", 1, 2, None, None)], f"page_id string, image_path string, img_w int, img_h int, regions array<struct<region_id:string,region_type:string,polygon:array<array<double>>,lines:{line}>>, marginalia {line}")
+    made = writers.page_xml(pages, creator="a<b")
+    assert "InPandas" not in made._jdf.queryExecution().executedPlan().toString()
+    p, q = (ET.fromstring(r.xml.encode()) for r in made.orderBy("page_id").collect())
+    ns = {"p": writers.PAGE}
+    assert p.find(".//p:TextLine", ns).get("id") == 'm\n<"' and p.find(".//p:Coords", ns).get("points") == "1,-1" and p.find(".//p:TextRegion", ns).get("id") == 'p&"_marginalia'
+    assert p.find("p:Page", ns).get("imageFilename") == "<a>.png" and p.find(".//p:Creator", ns).text == "a<b" and len(q.find("p:Page", ns)) == 0
+
+
 def test_streams_equal_batches(spark, tmp_path):
     source = tmp_path / "in"
     rows = spark.createDataFrame([(f"d{i}", f"Anno domini MCC in Parisius {i}") for i in range(6)], "document_id string, transcription string")
