@@ -35,7 +35,11 @@ def line_metrics(truth: Column, pred: Column) -> dict[str, Column]:
     where the lines differ and 0 where they do not, and edits and lengths say so.
     """
     t, p = blank_guard(truth), blank_guard(pred)
-    tw, pw = tokens(t), tokens(p)
+    return cleaned_metrics(t, p, tokens(t), tokens(p))
+
+
+def cleaned_metrics(t: Column, p: Column, tw: Column, pw: Column) -> dict[str, Column]:
+    """line_metrics() of lines that are stripped, and their words."""
     void = F.size(tw) == 0
     differ = (t != p).cast("int")
     return {

@@ -10,8 +10,11 @@ from ..functions import distance, text
 
 def with_metrics(lines: DataFrame, truth: str = "ground_truth", pred: str = "text") -> DataFrame:
     """Adds char_edits, char_len, word_edits, word_len, cer and wer."""
-    m = distance.line_metrics(F.col(truth), F.col(pred))
-    return lines.withColumns(m).withColumns({"cer": F.col("char_edits") / F.col("char_len"), "wer": F.col("word_edits") / F.col("word_len")})
+    # step by step, so that each form of a text is made once
+    cleaned = lines.withColumns({"__t": text.blank_guard(F.col(truth)), "__p": text.blank_guard(F.col(pred))})
+    split = cleaned.withColumns({"__tw": text.tokens(F.col("__t")), "__pw": text.tokens(F.col("__p"))})
+    m = distance.cleaned_metrics(*(F.col(c) for c in ("__t", "__p", "__tw", "__pw")))
+    return split.withColumns(m).withColumns({"cer": F.col("char_edits") / F.col("char_len"), "wer": F.col("word_edits") / F.col("word_len")}).drop("__t", "__p", "__tw", "__pw")
 
 
 def micro(scored: DataFrame, *by: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -211,11 +211,18 @@ def training_history(history: DataFrame) -> DataFrame:
 
 
 def error_curve(scored: DataFrame, column: str = "cer") -> DataFrame:
-    """(place, value): values in ascending order, for a curve; places begin with 1. Values are numbered by steps of a hundredth."""
-    from ..operators import corpus
+    """(place, value): values in ascending order, for a curve; places begin with 1.
 
-    values = scored.select(F.col(column).alias("value")).filter("value is not null")
-    return corpus.ranked(values, {"__step": F.floor(F.col("value") * 100)}, ["value"], "place").select((F.col("place") + 1).alias("place"), "value")
+    Equal values are counted first, so errors are measured once and only counts are dealt
+    out; places come from the counts by steps of a hundredth.
+    """
+    counted = scored.select(F.col(column).alias("value")).filter("value is not null").groupBy("value").agg(F.count("*").alias("n"))
+    # never null, or a filter for the join comes below one of its sides, which then is not the other's exchange again
+    counted = counted.withColumn("step", F.coalesce(F.floor(F.col("value") * 100), F.lit(0)))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    steps = counted.groupBy("step").agg(F.sum("n").alias("n")).select("step", before(Window.orderBy("step")).alias("start"))  # one row a step
+    placed = counted.withColumn("inside", before(Window.partitionBy("step").orderBy("value"))).join(steps, "step")
+    return placed.select(F.explode(F.sequence(F.col("start") + F.col("inside") + 1, F.col("start") + F.col("inside") + F.col("n"))).alias("place"), "value")
 
 
 def training_curves(history: DataFrame) -> DataFrame:

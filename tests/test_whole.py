@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import distance
-from scriptorium.operators import corpus, nlp
+from scriptorium.operators import corpus, metrics, nlp
 from scriptorium.plans import queries
+from scriptorium.sources import writers
 
 
 def edits(a, b):
@@ -69,3 +70,24 @@ def test_topics_see_every_document_in_each_pass(spark):
 def test_names_of_large_splits_are_not_cut(spark):
     got = corpus.split(spark.range(11_200).withColumn("text", F.lit("x")), key="id", total=None).select("split", "split_index", "img_name").collect()
     assert all(r.img_name == f"{r.split}_{r.split_index:04d}.png" for r in got) and len({r.img_name for r in got}) == 11_200
+
+
+def test_curves_measure_each_line_once(spark):
+    values = [0.5, 0.001, 0.5, 2.0, None, 0.009, 0.5, 0.0] + [i / 7 for i in range(30)]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def cer(x):
+        seen.add(1)
+        return x
+
+    got = writers.error_curve(spark.createDataFrame([(v,) for v in values], "x double").select(cer("x").alias("cer")).filter("true")).collect()
+    assert sorted((r.place, r.value) for r in got) == list(enumerate(sorted(v for v in values if v is not None), 1))
+    assert seen.value <= 2 * len(values)  # one for the filter, one for the value
+
+
+def test_texts_are_stripped_once_for_all_metrics(spark):
+    scored = metrics.with_metrics(spark.createDataFrame([(" a b ", "a c")], "truth string, pred string"), "truth", "pred")
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(coalesce(") == 2 * 2 and scored.columns == ["truth", "pred", "char_edits", "char_len", "word_edits", "word_len", "cer", "wer"]
+    assert tuple(scored.first())[2:6] == (1, 3, 1, 2)
