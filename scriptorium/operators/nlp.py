@@ -255,11 +255,16 @@ def topics(docs: DataFrame, *, text_col: str = "transcription", n_topics: int =
     its batches with replacement, so a rate of 1 too leaves out a third of the documents in a
     pass. Its optimizer in the JVM is therefore set up directly.
     """
-    from pyspark.ml.feature import CountVectorizer, StopWordsRemover
+    from pyspark.ml.feature import CountVectorizerModel, StopWordsRemover
 
     split = docs.select(F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: F.length(w) >= 2).alias("all_words"))
     clean = StopWordsRemover(inputCol="all_words", outputCol="words", stopWords=StopWordsRemover.loadDefaultStopWords("french")).transform(split)
-    counted = CountVectorizer(inputCol="words", outputCol="features", vocabSize=vocabulary, minDF=2.0, maxDF=0.95).fit(clean)
+    # CountVectorizer's own fit keeps every word of every document as an object; sums by word are all it needs
+    word, first = F.explode("words").alias("word"), F.explode(F.array_distinct("words")).alias("word")
+    total = clean.select(word).groupBy("word").agg(F.count("*").alias("n"))
+    spread = clean.select(first).groupBy("word").agg(F.count("*").alias("docs")).filter((F.col("docs") >= 2) & (F.col("docs") <= 0.95 * docs.count()))
+    known = [r["word"] for r in total.join(spread, "word").orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
+    counted = CountVectorizerModel.from_vocabulary(known, inputCol="words", outputCol="features")
     names = F.array(*(F.lit(w) for w in counted.vocabulary))
     spark = docs.sparkSession
     vectors = counted.transform(clean).select("features").persist()

@@ -91,3 +91,12 @@ def test_texts_are_stripped_once_for_all_metrics(spark):
     plan = scored._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace(coalesce(") == 2 * 2 and scored.columns == ["truth", "pred", "char_edits", "char_len", "word_edits", "word_len", "cer", "wer"]
     assert tuple(scored.first())[2:6] == (1, 3, 1, 2)
+
+
+def test_topics_count_words_without_keeping_them(spark, monkeypatch):
+    from pyspark.ml.feature import CountVectorizer
+
+    monkeypatch.setattr(CountVectorizer, "fit", None)  # it keeps all words of all documents as objects
+    rows = [(f"nef roi mer w{i} vin toujours partout " + "vin " * (i % 3),) for i in range(38)] + [("partout w0",)] * 2 + [("partout",)]
+    found = nlp.topics(spark.createDataFrame(rows, "text string"), text_col="text", n_topics=2, words=10, passes=2).collect()
+    assert {w for r in found for w in r.words} == {"nef", "roi", "mer", "toujours", "vin", "w0"}  # not those of one document, or of all
